@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .audio import audio_features, digests
+from . import audio, pii, simhash
 from .common import table
 from .mixing import mix_to_weights, quality_weights
 from .token_counts import count_tokens
@@ -20,11 +21,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(audio_features(table(spark, sf_dir, "documents")))
+    return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op10_audio)}
 
 ORACLES = {
     "op1_mixing": r"""

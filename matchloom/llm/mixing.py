@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, word_count
 
 #: Rows that a bucket of one source should hold.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 200
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

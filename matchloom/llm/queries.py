@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, pii, simhash
+from . import audio, pii, simhash, toxicity
 from .common import table
 from .mixing import mix_to_weights, quality_weights
 from .token_counts import count_tokens
@@ -31,11 +31,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op7_toxicity, op10_audio)}
 
 ORACLES = {
     "op1_mixing": r"""

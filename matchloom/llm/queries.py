@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, pii, simhash, toxicity
+from . import audio, decontamination, licenses, pii, simhash, toxicity
 from .common import table
 from .mixing import mix_to_weights, quality_weights
 from .token_counts import count_tokens
@@ -35,11 +35,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op7_toxicity, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op7_toxicity, op8_decontamination, op9_licenses, op10_audio)}
 
 ORACLES = {
     "op1_mixing": r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontamination, html_extraction, licenses, pii, simhash, toxicity
+from . import audio, decontamination, html_extraction, licenses, pii, simhash, substring_dedup, toxicity
 from .common import table
 from .mixing import mix_to_weights, quality_weights
 from .token_counts import count_tokens
@@ -36,6 +36,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_html, op7_toxicity, op8_decontamination, op9_licenses, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_html, op6_substrings, op7_toxicity, op8_decontamination, op9_licenses, op10_audio)}
 
 ORACLES = {
     "op1_mixing": r"""

@@ -1,11 +1,60 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
 
-STAGES = []
+toxicity drops documents that score as toxic; near duplicates keeps one document of each SimHash component;
+decontamination drops documents that hold a benchmark item; personal data is redacted in the texts; mixing, last, adds
+how many words of each document the mix takes. Every stage works on all rows that its predecessor kept and, but for the
+last, returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchloom.llm.common import materialise, table
+from matchloom.llm.decontamination import drop_contaminated
+from matchloom.llm.mixing import mix_to_weights, quality_weights
+from matchloom.llm.pii import redact
+from matchloom.llm.simhash import deduplicate
+from matchloom.llm.toxicity import reject_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, target and taken of each document; texts are found by doc_id in the stage before."""
+    mixed = mix_to_weights(docs, quality_weights(table(spark, sf_dir, "labels")))
+    return mixed.withColumn("copies", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+]
+
+#: Trees, neighbours and alignments are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: floa
     Weights repeat over the sources in order of code points, null last. All targets together are share of all sizes; a
     target stops at most times its source's size and the excess goes to the others by weight. That is a level: target
     = min(most * source_size, level * weight), found by filling the sources that stop soonest first. A share above most
-    makes every target stop.
+    makes every target stop. Before the level is found a source's level lies above its ratio, after it levels only fall:
+    the right one is the largest that doesn't exceed its ratio.
     """
     w = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     kinds = F.array(*map(F.lit, map(float, weights)))
@@ -57,7 +58,7 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: floa
         }
     )
     level = (F.lit(float(share)) * F.col("total") - F.coalesce("filled", F.lit(0.0))) / F.col("open")
-    ranked = ranked.withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(everywhere))
+    ranked = ranked.withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(everywhere))
     fair = F.coalesce(F.col("level") * F.col("weight"), F.col("stop"))
     return ranked.select("source", "source_size", F.least("stop", fair).alias("target"))
 

@@ -71,7 +71,7 @@ r as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source is null, so
 c as (select *, 2.0::double * source_size stop, 2.0::double * source_size / weight ratio from r),
 l as (select *, (1.5::double * total - coalesce(sum(stop) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0))
              / sum(weight) over (order by ratio, source is null, source rows between current row and unbounded following) as lev from c),
-t as (select source, source_size, least(stop, coalesce(min(case when lev <= ratio then lev end) over () * weight, stop)) target from l),
+t as (select source, source_size, least(stop, coalesce(max(case when lev <= ratio then lev end) over () * weight, stop)) target from l),
 b as (select *, case when source_size > 0 then floor(round(target) / source_size)::bigint else 0 end epochs from t),
 p as (select k.doc_id, k.size, b.source_size, b.target, b.epochs, round(b.target)::bigint - b.epochs * b.source_size
              - coalesce(sum(k.size) over (partition by k.source order by key, k.size, k.doc_id rows between unbounded preceding and 1 preceding), 0) as room

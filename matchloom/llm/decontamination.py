@@ -94,7 +94,8 @@ class Matcher:
         for n in self.lengths:
             own = gram_keys(ids, n)
             known = np.flatnonzero(own)
-            known = known[np.isin(own[known], self.grams)]
+            place = np.minimum(np.searchsorted(self.grams, own[known]), len(self.grams) - 1)
+            known = known[self.grams[place] == own[known]]
             at.append(known)
             keys.append(own[known])
         at, keys = np.concatenate(at or [np.zeros(0, int)]), np.concatenate(keys or [np.zeros(0, np.uint64)])

@@ -8,9 +8,10 @@ lies within reach of an anchor: all strings of LENGTH bytes that hold its gram.
 
 - a gram that occurs once has no repeated string around it;
 - a piece that occurs more than once (copies) is repeated all over;
-- pieces that occur once, of a gram that occurs more often, are sorted: the shard's pieces are laid end to end, their
-  suffixes sorted by induction (suffix_sort, with queues on disk), and neighbours in that order that agree in LENGTH
-  bytes are repeated strings, if they start at different places of the documents;
+- pieces that occur once, of a gram that occurs more often, meet in a shard. Runs of strings whose hash has a partner
+  there are cut out (what has none can't be repeated), equal runs collapse, the runs are laid end to end and their
+  suffixes sorted by induction (suffix_sort, with queues on disk); neighbours in that order that agree in LENGTH bytes
+  are repeated strings, if they start at different places of the documents;
 - a gram with very many such pieces (over HOT bytes: a passage that many documents share) would be too much for one
   task; its strings of LENGTH bytes are counted by hash in a shuffle that combines before it sends. That is exact too,
   for a group of any size.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,10 @@ from .suffix_sort import same_strings, suffix_array
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
+#: Neighbouring starts whose strings are looked at together in hot groups.
+STEP = 50
 #: Bytes that are sorted at once, and bytes of a gram's pieces from which its strings are counted instead.
-SHARD, HOT = 4 << 20, 2 << 20
+SHARD, HOT = 8 << 20, 32 << 20
 
 ODD = 0x9E3779B97F4A7C15
 BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -132,13 +136,6 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return made.groupBy(made.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def windows_of(raw: bytes) -> np.ndarray:
-    """Hash of every string of LENGTH bytes of a piece."""
-    part = np.frombuffer(raw, np.uint8)
-    starts = np.arange(len(part) - LENGTH + 1)
-    return Hashes(part, Powers()).of(starts, starts + LENGTH)
-
-
 def repeated_starts(pieces: list[tuple[bytes, int, int]], folder: str | None) -> list[np.ndarray]:
     """For each piece (bytes, id of its text, place in it) the starts of strings of LENGTH bytes that are repeated.
 
@@ -171,6 +168,54 @@ def repeated_starts(pieces: list[tuple[bytes, int, int]], folder: str | None) ->
     return out
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the numbers first[k] .. first[k] + count[k] - 1, end to end, and k."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner], owner
+
+
+def differing(keys: np.ndarray, sign: np.ndarray, always: np.ndarray) -> np.ndarray:
+    """Of rows with equal keys: whether their signs differ or one of them is marked as always."""
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    hit = (np.maximum.reduceat(sign[order], heads) != np.minimum.reduceat(sign[order], heads)) | np.logical_or.reduceat(always[order], heads)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(hit, np.diff(np.append(heads, len(keys))))
+    return out
+
+
+def shard_starts(raws: list[bytes], text: np.ndarray, place: np.ndarray, folder: str | None, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, first and end (exclusive) of the runs of repeated starts in a shard's pieces; arguments as repeated_starts."""
+    t = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(x) for x in raws])
+    first = np.cumsum(size) - size
+    hashes = Hashes(t, powers)
+    starts, owner = spread(first, np.maximum(size - LENGTH + 1, 0))
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return none, none, none
+    sign = text[owner] * np.uint64(ODD) + (place[owner] + starts - first[owner]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    can = np.flatnonzero(differing(hashes.of(starts, starts + LENGTH), sign, text[owner] == 0))
+    if not len(can):
+        return none, none, none
+    # runs of candidate starts within a piece
+    new = np.concatenate([[True], (np.diff(starts[can]) != 1) | (np.diff(owner[can]) != 0)])
+    head = np.flatnonzero(new)
+    a, b = starts[can[head]], starts[can[np.append(head[1:], len(can)) - 1]] + LENGTH
+    who, mark = owner[can[head]], sign[can[head]]
+    content = hashes.of(a, b) ^ (b - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    whole = differing(content, mark, text[who] == 0)
+    _, one, group = np.unique(content, return_index=True, return_inverse=True)
+    runs = [(t[a[k] : b[k]].tobytes(), 0 if whole[k] else int(text[who[k]]), int(place[who[k]] + a[k] - first[who[k]])) for k in one.tolist()]
+    found = [intervals(x) for x in repeated_starts(runs, folder)]
+    counts = np.array([len(f[0]) for f in found])
+    froms = np.array([x for f in found for x in f[0]], np.int64)
+    tos = np.array([x for f in found for x in f[1]], np.int64)
+    at, member = spread((np.cumsum(counts) - counts)[group], counts[group])
+    shift = (a - first[who])[member]
+    return who[member], froms[at] + shift, tos[at] + shift
+
+
 def intervals(starts: np.ndarray) -> tuple[list[int], list[int]]:
     """Runs of consecutive starts: first ones and ends (exclusive)."""
     if not len(starts):
@@ -186,49 +231,102 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
     """COVER of pieces (gram, piece, c, t1, at, before, raw): all pieces of a gram meet in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        powers, held, size, last = Powers(), [], 0, None
 
-        def told(rows: list[dict]) -> pa.RecordBatch:
+        def told() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            column = lambda c: rows.column(c).to_numpy()
+            once = column("c") == 1
+            text = np.where(once, column("t1").view(np.uint64) | np.uint64(1), np.uint64(0))
             with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) as folder:
-                made = repeated_starts([(r["raw"], 0 if r["c"] > 1 else (r["t1"] & (2**64 - 1)) | 1, r["at"] - r["before"]) for r in rows], folder)
-            cover = [(r["gram"], r["piece"], *intervals(x)) for r, x in zip(rows, made, strict=True) if len(x) and r["c"] == 1]
-            columns = zip(*cover, strict=True) if cover else ([], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "piece", "froms", "tos"])
+                who, froms, tos = shard_starts(rows.column("raw").to_pylist(), text, column("at") - column("before"), folder, powers)
+            order = np.argsort(who, kind="stable")
+            order = order[once[who[order]]]
+            who, froms, tos = who[order], froms[order].astype(np.int32), tos[order].astype(np.int32)
+            heads = np.flatnonzero(np.diff(who, prepend=-1))
+            ends = pa.array(np.append(heads, len(who)).astype(np.int32))
+            own = [pa.array(column(c)[who[heads]]) for c in ("gram", "piece")]
+            return pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(ends, pa.array(froms)), pa.ListArray.from_arrays(ends, pa.array(tos))], names=["gram", "piece", "froms", "tos"])
 
-        size, last = 0, None
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                for row in batch.slice(first, 256).to_pylist():
-                    if size >= SHARD and row["gram"] != last:
-                        yield told(held)
-                        held, size = [], 0
-                    held.append(row)
-                    size, last = size + len(row["raw"]), row["gram"]
+            if not batch.num_rows:
+                continue
+            grams = batch.column("gram").to_numpy()
+            lengths = np.cumsum(pa.compute.binary_length(batch.column("raw")).to_numpy(zero_copy_only=False))
+            ends, begin = np.append(np.flatnonzero(np.diff(grams)) + 1, len(grams)), 0
+            for end in ends.tolist():  # a gram's pieces stay together
+                if size >= SHARD and grams[begin] != last:
+                    yield told()
+                    held, size = [], 0
+                held.append(batch.slice(begin, end - begin))
+                size += int(lengths[end - 1] - (lengths[begin - 1] if begin else 0))
+                last, begin = grams[end - 1], end
         if held:
-            yield told(held)
+            yield told()
 
     dealt = pieces.repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, COVER)
 
 
-def counted_cover(pieces: DataFrame) -> DataFrame:
-    """COVER of pieces of hot grams by counting strings of LENGTH bytes under their gram and place in the piece."""
+def string_hashes(pieces: DataFrame, nodes: bool) -> DataFrame:
+    """gram, piece, c, place, hash of pieces (gram, piece, c, before, raw).
+
+    nodes: of the cores that all strings of STEP neighbouring starts share; else of every string of the node given.
+    place is where a core or string begins, counted from the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                for r in batch.slice(first, 64).to_pylist():
-                    h = windows_of(r["raw"]).view(np.int64)
-                    k = len(h)
-                    cells = [np.full(k, r["gram"]), np.full(k, r["piece"]), np.full(k, min(r["c"], 2)), np.arange(k) - r["before"], h]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells] + [pa.array(np.full(k, r["before"], np.int64))], names=["gram", "piece", "c", "offset", "window", "before"])
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                raws = part.column("raw").to_pylist()
+                t, size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws])
+                first, before = np.cumsum(size) - size, part.column("before").to_numpy().astype(np.int64)
+                count = np.maximum(size - LENGTH + 1, 0)
+                hashes = Hashes(t, powers)
+                if nodes:
+                    # nodes lie on a grid from the anchor
+                    low = -(before // STEP) - 1
+                    place, owner = spread(low, (count - 1 - before) // STEP - low + 1)
+                    a = np.maximum(place * STEP, -before[owner])
+                    z = np.minimum(place * STEP + STEP - 1, (count - 1 - before)[owner])
+                    fits = z >= a
+                    place, owner = place[fits], owner[fits]
+                    # the core lies in every string of the node, so in the piece, even where that cuts the node
+                    start = place * STEP + STEP - 1 + (first + before)[owner]
+                    key = hashes.of(start, start + LENGTH - STEP + 1).view(np.int64)
+                else:
+                    node = part.column("place").to_numpy()
+                    a, z = np.maximum(node * STEP, -before), np.minimum(node * STEP + STEP - 1, count - 1 - before)
+                    place, owner = spread(a, np.maximum(z - a + 1, 0))
+                    start = place + (first + before)[owner]
+                    key = hashes.of(start, start + LENGTH).view(np.int64)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("gram", "piece", "c")), pa.array(place.astype(np.int64)), pa.array(key)], names=["gram", "piece", "c", "place", "hash"])
+
+    return pieces.mapInArrow(run, "gram long, piece long, c long, place long, hash long")
 
-    made = materialise(pieces.mapInArrow(run, "gram long, piece long, c long, offset long, window long, before long"), "hot-windows")
-    often = made.groupBy("gram", "offset", "window").agg(F.sum("c").alias("often")).where("often > 1").drop("often")
-    hit = made.where("c = 1").join(often, ["gram", "offset", "window"])
-    starts = hit.groupBy("gram", "piece").agg(F.array_sort(F.collect_list((F.col("offset") + F.col("before")).cast("int"))).alias("starts"))  # LENGTH of them at most
-    return starts.select("gram", "piece", F.col("starts").alias("froms"), F.transform("starts", lambda x: x + 1).alias("tos"))
+
+def counted_cover(pieces: DataFrame) -> DataFrame:
+    """COVER of pieces of hot grams by counting, in shuffles that combine before they send.
+
+    First the cores of nodes (STEP neighbouring starts) are counted; a node whose core has no partner has no repeated
+    string. Then every string of the nodes left is counted.
+    """
+    cores = string_hashes(pieces, nodes=True)
+    again = cores.groupBy("gram", "place", "hash").agg(F.sum(F.least("c", F.lit(2))).alias("often")).where("often > 1").drop("often")
+    nodes = cores.where("c = 1").join(again, ["gram", "place", "hash"]).select("gram", "piece", "place")
+    # strings of pieces that occur elsewhere as a whole are partners for any node
+    strings = string_hashes(pieces.where("c = 1").join(nodes, ["gram", "piece"]).select("gram", "piece", "c", "before", "raw", "place"), nodes=False)
+    others = pieces.where("c > 1").withColumn("place", F.explode(F.sequence(F.lit(-(SPAN // STEP) - 1), F.lit(SPAN // STEP + 1)).cast("array<long>")))
+    strings = materialise(strings.unionByName(string_hashes(others.select("gram", "piece", "c", "before", "raw", "place"), nodes=False)), "hot-strings")
+    often = strings.groupBy("gram", "place", "hash").agg(F.sum(F.least("c", F.lit(2))).alias("often")).where("often > 1").drop("often")
+    hit = strings.where("c = 1").join(often, ["gram", "place", "hash"])
+    before = pieces.select("gram", "piece", "before")
+    starts = hit.groupBy("gram", "piece").agg(F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("starts"))  # SPAN of them at most
+    starts = starts.join(before, ["gram", "piece"]).withColumn("froms", F.transform("starts", lambda x: x + F.col("before")))
+    return starts.select("gram", "piece", "froms", F.transform("froms", lambda x: x + 1).alias("tos"))
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -264,7 +362,7 @@ def removal(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)), pa.array(raws, pa.binary())], names=["t1", *names, "raw"])
 
     matched = texts.join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "t1", "wanted")
-    found = matched.mapInArrow(cut, "t1 long, gram long, piece long, c long, at long, before int, size int, hot boolean, raw binary").dropDuplicates(["gram", "piece"])
+    found = matched.mapInArrow(cut, "t1 long, gram long, piece long, c long, at long, before int, size int, hot boolean, raw binary")
     found = materialise(found, "piece-bytes")
     cover = sorted_cover(found.where("not hot")).unionByName(counted_cover(found.where("hot").select("gram", "piece", "c", "before", "raw")))
     whole = live.where(f"c > 1 and size >= {LENGTH}").select("gram", "piece", F.array(F.lit(0)).alias("froms"), F.array(F.col("size") - LENGTH + 1).alias("tos"))

@@ -1,10 +1,9 @@
 """Removal of repeated byte strings by suffix sorting, exact over all documents.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. To sort only what can matter and to
-deal it to many tasks, every text is marked at anchors: the local minima of a hash of GRAM bytes over SPAN
-neighbouring starts. Which ones are chosen in a string of LENGTH bytes depends on that string alone, and there is at
-least one; so both places of a repeated string have an anchor with the same gram at the same offset. A piece is what
-lies within reach of an anchor: all strings of LENGTH bytes that hold its gram. Then, by gram and piece,
+deal it to many tasks, every string has an anchor: of its SPAN substrings of GRAM bytes the first one with the least
+hash. That depends on the string alone, so both places of a repeated string have an anchor with the same gram at the
+same offset. A piece is what the strings of one anchor cover. Then, by gram and piece,
 
 - a gram that occurs once has no repeated string around it;
 - a piece that occurs more than once (copies) is repeated all over;
@@ -41,10 +40,12 @@ from .suffix_sort import same_strings, suffix_array
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
+#: Positions fit into the lower bits of a hash within a segment; an anchor's strings may be parted at its end.
+SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 #: Neighbouring starts whose strings are looked at together in hot groups.
 STEP = 50
 #: Bytes that are sorted at once, and bytes of a gram's pieces from which its strings are counted instead.
-SHARD, HOT = 8 << 20, 32 << 20
+SHARD, HOT = 4 << 20, 6 << 20
 
 ODD = 0x9E3779B97F4A7C15
 BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -81,30 +82,37 @@ class Hashes:
         return h ^ (h >> np.uint64(29))
 
 
-def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (np.minimum or np.maximum) over every width neighbours."""
+def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of every width neighbours."""
     step, out = 1, h
     while 2 * step <= width:
-        out = pick(out[:-step], out[step:])
+        out = np.minimum(out[:-step], out[step:])
         step *= 2
     rest = width - step
-    return pick(out[:-rest], out[rest:]) if rest else out
+    return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
 def anchors_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...] | None:
-    """Position, gram, piece hash, piece start and end of the anchors of a text; None below LENGTH bytes."""
+    """Position, gram, piece hash, piece start and end of the anchors of a text; None below LENGTH bytes.
+
+    The anchor of a string of LENGTH bytes is the first gram in it whose hash (upper bits) is least; strings with the
+    same anchor follow one another, and a piece is what they cover. So each string belongs to one piece.
+    """
     n = len(raw)
     if n < LENGTH:
         return None
-    hashes = Hashes(raw, powers)
-    starts = np.arange(n - GRAM + 1)
-    h = hashes.of(starts, starts + GRAM)
-    least = sliding(h, SPAN, np.minimum)
-    pad = np.zeros(SPAN - 1, np.uint64)
-    at = np.flatnonzero(h == sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum))
-    a, b = np.maximum(at - (SPAN - 1), 0), np.minimum(at + GRAM + SPAN - 1, n)
+    hashes, found = Hashes(raw, powers), []
+    for begin in range(0, n - LENGTH + 1, SEGMENT):
+        end = min(begin + SEGMENT, n - LENGTH + 1) + SPAN - 1
+        starts = np.arange(begin, end)
+        h = hashes.of(starts, starts + GRAM)
+        least = sliding_min(h & ~LOW | (starts - begin).astype(np.uint64), SPAN)
+        owner = (least & LOW).astype(np.int64) + begin
+        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        found.append((owner[head], h[owner[head] - begin], begin + head, begin + np.append(head[1:], len(owner)) - 1 + LENGTH))
+    at, gram, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     piece = hashes.of(a, b) ^ ((b - a) * 1000 + at - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return at, h[at], piece, a, b
+    return at, gram, piece, a, b
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def differing(keys: np.ndarray, sign: np.ndarray, always: np.ndarray) -> np.ndarray:
     """Of rows with equal keys: whether their signs differ or one of them is marked as always."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
     hit = (np.maximum.reduceat(sign[order], heads) != np.minimum.reduceat(sign[order], heads)) | np.logical_or.reduceat(always[order], heads)
     out = np.empty(len(keys), bool)

@@ -120,7 +120,7 @@ def _rank_names(names: np.ndarray) -> np.ndarray:
         if step < n:
             after[:-step] = rank[step:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh

@@ -4,8 +4,8 @@ Terms are words and their first 4 to 6 letters, so that inflected and compound f
 holds the terms that mark toxic examples best (log-likelihood ratio), out of a sample of at most EXAMPLES labelled
 rows; document frequencies for the weights are counted over all documents. The examples stand in an inverted index
 whose postings are cut into blocks of BLOCK examples, each with its largest weight. A query adds up the block maxima
-of its terms, visits blocks in falling order of that bound and stops where no further block can reach its NEAREST best
-example, so the neighbours are exact. Their labels vote with the square of the cosine, a weak prior joins in, and
+of its terms, visits the blocks of the highest bounds and then only those that can still reach its NEAREST best
+examples, so the neighbours are exact. Their labels vote with the square of the cosine, a weak prior joins in, and
 Platt scaling fitted on left-one-out votes of the examples makes the vote a probability. The neighbours are the
 evidence. A text without any term of the vocabulary gets the share of toxic ones among such examples.
 
@@ -32,6 +32,8 @@ from .common import materialise
 #: Bound of the labelled sample, of the vocabulary, and what a term must reach (log-likelihood ratio).
 EXAMPLES, TERMS, LEAST = 20_000, 4096, 20.0
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
+#: Blocks that are scored before the threshold is set.
+VISITED = 4
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]{2,}")
 #: Words whose terms a worker remembers before it begins anew.
@@ -120,35 +122,36 @@ class BlockMaxIndex:
         self.most = np.zeros((terms, self.blocks))
         np.maximum.at(self.most.reshape(-1), cell, self.weight)
 
+    def scores(self, terms: np.ndarray, weights: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Cosines of all examples in some blocks; 0 elsewhere."""
+        cell = (terms[:, None] * self.blocks + some[None, :]).ravel()
+        first = self.start[cell]
+        count = self.start[cell + 1] - first
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        return np.bincount(self.owner[at], self.weight[at] * np.repeat(np.repeat(weights, len(some)), count), self.n)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k best examples but leave, best first, equal ones by position."""
+        """Positions and cosines of the k best examples but leave, best first, equal ones by position.
+
+        The blocks with the highest bounds set a threshold; of the others those that may reach it are scored together.
+        """
         bound = weights @ self.most[terms]
         queue = np.argsort(-bound, kind="stable")
         queue = queue[bound[queue] > 0]
-        positions, cosines, worst = np.zeros(0, int), np.zeros(0), 0.0
-        for first in range(0, len(queue), 4):
-            some = queue[first : first + 4]
-            # a block whose bound equals the worst one kept may hold an equal example of a lower position
+        found = np.zeros(self.n)
+        for some in (queue[:VISITED], queue[VISITED:]):
+            if leave >= 0:
+                found[leave] = 0
+            worst = np.partition(found, self.n - k)[self.n - k] if self.n > k else 0.0
+            # a block whose bound equals the threshold may hold an equal example of a lower position
             some = some[bound[some] >= worst - 1e-12]
-            if not len(some):
-                break
-            for block in some.tolist():
-                scores = np.zeros(BLOCK)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    a, b = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
-                    if b > a:
-                        scores[self.owner[a:b] - block * BLOCK] += w * self.weight[a:b]
-                if leave // BLOCK == block and leave >= 0:
-                    scores[leave % BLOCK] = 0
-                hit = np.flatnonzero(scores > 0)
-                positions, cosines = np.concatenate([positions, hit + block * BLOCK]), np.concatenate([cosines, scores[hit]])
-            if len(positions) > k:
-                keep = np.lexsort((positions, -cosines))[:k]
-                positions, cosines = positions[keep], cosines[keep]
-            if len(positions) == k:
-                worst = cosines.min()
-        keep = np.lexsort((positions, -cosines))
-        return positions[keep], cosines[keep]
+            if len(some):
+                found = found + self.scores(terms, weights, some)
+        if leave >= 0:
+            found[leave] = 0
+        hit = np.flatnonzero(found > 0)
+        keep = hit[np.lexsort((hit, -found[hit]))][:k]
+        return keep, found[keep]
 
 
 class ToxicityModel:

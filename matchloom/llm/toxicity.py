@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: How many times more often a term must stand in toxic examples than in others.
+LIFT = 3.0
 #: Bound of the labelled sample, of the vocabulary, and what a term must reach (log-likelihood ratio).
 EXAMPLES, TERMS, LEAST = 20_000, 4096, 20.0
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
@@ -82,7 +84,7 @@ def pick_terms(statistics: DataFrame, toxic: int, clean: int, terms: int = TERMS
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     ratio = 2 * (part(F.col("toxic"), df * (toxic / n)) + part(F.col("clean"), df * (clean / n)) + part(toxic - F.col("toxic"), (n - df) * (toxic / n)) + part(clean - F.col("clean"), (n - df) * (clean / n)))
-    over = F.col("toxic") * float(clean) > F.col("clean") * float(toxic)
+    over = F.col("toxic") * float(clean) > LIFT * F.col("clean") * float(toxic)
     best = statistics.where(over).withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(terms)
     return [r["term"] for r in best.select("term").collect()]
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, LongType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -132,7 +133,7 @@ def monge_elkan(a: list[str], b: list[str]) -> float | None:
     return sum(max(jaro_winkler(x, y) for y in b) for x in a) / len(a) if len(a) and len(b) else None
 
 
-def pair_udf(kernel: Callable, kind: str = "double"):
+def pair_udf(kernel: Callable, kind: DataType = DoubleType()):
     """An Arrow function of two columns; null where either is null."""
 
     @F.pandas_udf(kind)
@@ -154,4 +155,4 @@ def pair_udf(kernel: Callable, kind: str = "double"):
 
 ratio_udf, token_sort_udf, token_set_udf = pair_udf(ratio), pair_udf(token_sort_ratio), pair_udf(token_set_ratio)
 partial_udf, weighted_udf, jaro_winkler_udf = pair_udf(partial_ratio), pair_udf(weighted_ratio), pair_udf(jaro_winkler)
-osa_udf, monge_elkan_udf = pair_udf(osa_distance, "long"), pair_udf(monge_elkan)
+osa_udf, monge_elkan_udf = pair_udf(osa_distance, LongType()), pair_udf(monge_elkan)

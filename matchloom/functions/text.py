@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The letters that folding rewrites before it strips marks, and accented letters with their bases.
 LIGATURES = {"œ": "oe", "æ": "ae", "ø": "o", "ß": "ss", "đ": "d", "ł": "l", "&": " and ", "’": "", "'": ""}
@@ -22,7 +23,7 @@ def bucket(value: Column, salt: str, buckets: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(value.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long") % buckets
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(texts: pd.Series) -> pd.Series:
     """NFKD without marks; Catalyst has no such expression."""
     return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c)[0] != "M"))
@@ -58,7 +59,7 @@ def _vowel_ends(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def spell_latin(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else _vowel_ends(x))
 

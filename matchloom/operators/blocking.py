@@ -47,7 +47,11 @@ def family_keys(family: str) -> Column:
 
 def make_keys(records: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """country, id, fam, key: distinct keys of normalised records, by one explode."""
-    each = [F.transform(F.array_distinct(family_keys(f)), lambda k, f=f: F.struct(F.lit(f).alias("fam"), k.alias("key"))) for f in families]
+
+    def tagged(family: str) -> Column:
+        return F.transform(F.array_distinct(family_keys(family)), lambda k: F.struct(F.lit(family).alias("fam"), k.alias("key")))
+
+    each = [tagged(f) for f in families]
     return records.select("country", "id", F.explode(F.concat(*each)).alias("k")).select("country", "id", "k.fam", "k.key")
 
 

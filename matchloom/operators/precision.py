@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
 from ..functions.kernels import jaro_winkler, levenshtein, osa_distance, pair_udf, ratio_udf, token_set_udf
 from ..functions.text import jaccard, tokens
@@ -64,7 +65,7 @@ def novelty(pairs: DataFrame, clean1: DataFrame, clean2: DataFrame, vocabulary:
     """s1, r, nov_r (the record's new words), miss_r (the entity's words that the record lacks)."""
     one, two = clean1.select(F.col("id").alias("s1"), F.col("ctoks").alias("ctoks1")), clean2.select(F.col("id").alias("r"), F.col("ctoks").alias("ctoks2"))
     joined = pairs.select("s1", "r").join(one, "s1").join(two, "r")
-    return joined.select("s1", "r", pair_udf(lambda a, b: novel_count(a, b, vocabulary), "long")("ctoks1", "ctoks2").alias("nov_r"), pair_udf(lambda a, b: novel_count(a, b), "long")("ctoks2", "ctoks1").alias("miss_r"))
+    return joined.select("s1", "r", pair_udf(lambda a, b: novel_count(a, b, vocabulary), LongType())("ctoks1", "ctoks2").alias("nov_r"), pair_udf(lambda a, b: novel_count(a, b), LongType())("ctoks2", "ctoks1").alias("miss_r"))
 
 
 def twin_features(pairs: DataFrame) -> DataFrame:
@@ -126,9 +127,9 @@ def v3_features(pairs: DataFrame, clean1: DataFrame, clean2: DataFrame, idf: Dat
     )
 
 
-_alone_pairs = pair_udf(lambda word, known: not any(close(word[0], k) for k in known), "boolean")
-_fuzzy_pairs = pair_udf(lambda word, known: any(jaro_winkler(word[0], k) >= 0.92 for k in known), "boolean")
-_unmatched = pair_udf(lambda a, b: sum(not any(x == y or jaro_winkler(x, y) >= 0.9 for y in b) for x in a), "long")
+_alone_pairs = pair_udf(lambda word, known: not any(close(word[0], k) for k in known), BooleanType())
+_fuzzy_pairs = pair_udf(lambda word, known: any(jaro_winkler(word[0], k) >= 0.92 for k in known), BooleanType())
+_unmatched = pair_udf(lambda a, b: sum(not any(x == y or jaro_winkler(x, y) >= 0.9 for y in b) for x in a), LongType())
 
 
 def _alone(word: str, known: str) -> Column:

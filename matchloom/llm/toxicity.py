@@ -38,8 +38,10 @@ NEAREST, BLOCK, PRIOR = 15, 64, 0.25
 VISITED = 4
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]{2,}")
+#: Rows whose texts a worker holds as Python strings at a time.
+ROWS = 512
 #: Words whose terms a worker remembers before it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -63,11 +65,13 @@ def term_statistics(examples: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for term in {t for w in word_counts(text) for t in terms_of(w)}:
-                    seen.setdefault(term, [0, 0])[int(toxic)] += 1
-                if len(seen) > REMEMBERED:
-                    yield told()
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    for term in {t for w in word_counts(text) for t in terms_of(w)}:
+                        seen.setdefault(term, [0, 0])[int(toxic)] += 1
+                    if len(seen) > REMEMBERED:
+                        yield told()
         yield told()
 
     return examples.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -226,9 +230,11 @@ def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Vectoriser(vocabulary)
         for batch in batches:
-            rows = [made.counts(x) for x in batch.column("text").to_pylist()]
-            lists = [pa.array([list(f(r)) for r in rows], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                rows = [made.counts(x) for x in part.column("text").to_pylist()]
+                lists = [pa.array([list(f(r)) for r in rows], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")

@@ -45,22 +45,26 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(shared, ab), ratio(shared, ba)) if both else best
 
 
+def _best_window(a: str, b: str) -> float:
+    """Best ratio of a with windows of its length in b, cut windows at the ends too."""
+    n, letters, best = len(a), set(a), 0.0
+    for start in range(1 - n, len(b)):
+        window = b[max(0, start) : start + n]
+        # a best window ends with a letter of a
+        if window[-1] in letters and 2 * len(window) / (n + len(window)) > best:
+            best = max(best, ratio(a, window))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, cut windows at its ends too."""
+    """Best ratio of the shorter text with a window of the longer one; of equally long ones both have their windows."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
     if a in b:
         return 1.0
-    n, letters = len(a), set(a)
-    best = 0.0
-    for start in range(1 - n, len(b)):
-        window = b[max(0, start) : start + n]
-        # a best window begins and ends with a letter of the shorter text
-        if window[-1] in letters and 2 * len(window) / (n + len(window)) > best:
-            best = max(best, ratio(a, window))
-    return best if len(a) != len(b) else max(best, ratio(a, b))
+    return _best_window(a, b) if len(a) < len(b) else max(_best_window(a, b), _best_window(b, a))
 
 
 def partial_token_ratio(a: str, b: str) -> float:

@@ -81,9 +81,11 @@ def normalize(records: DataFrame, unicode: bool = False) -> DataFrame:
     df = df.withColumn("is_domain", name.rlike(domain))
     name = F.when(F.col("is_domain"), F.regexp_extract(name, domain, 1)).otherwise(name)
     name = F.replace(F.regexp_replace(name, r"\bm/s\b\.?", " "), F.lit("."), F.lit(""))
-    words = without(tokens(F.regexp_replace(fold(name, unicode), "[^a-z0-9]+", " ")), LEGAL)
-    df = df.withColumn("name_norm", F.array_join(words, " "))
-    words = tokens(squash(F.col("name_norm")))
+    # Steps that are used more than once are columns, which the optimizer then evaluates once.
+    df = df.withColumn("_w", tokens(F.regexp_replace(fold(name, unicode), "[^a-z0-9]+", " ")))
+    df = df.withColumn("name_norm", F.array_join(without(F.col("_w"), LEGAL), " "))
+    df = df.withColumn("_w", tokens(squash(F.col("name_norm"))))
+    words = F.col("_w")
     plain = without(words, LEGAL_SQUASHED)
     df = df.withColumn("name_toks", F.when(F.col("_spelled"), without(words, LEGAL_SQUASHED + LEGAL_SPELLED)).otherwise(plain) if unicode else plain)
     df = df.withColumns({"name_sq": F.array_join("name_toks", " "), "name_core": F.array_join("name_toks", ""), "name_skel": F.transform("name_toks", lambda t: F.regexp_replace(t, "[aeiou]+", ""))})
@@ -115,4 +117,4 @@ def normalize(records: DataFrame, unicode: bool = False) -> DataFrame:
             "addr_alpha": F.filter("addr_toks", lambda t: t.rlike("^[a-z]{3,}$")),
         }
     )
-    return df.drop("_spelled", "_addr", "_words")
+    return df.drop("_spelled", "_addr", "_words", "_w")

@@ -254,9 +254,9 @@ ORACLES = {
     "block_recall_at_k": with_(BLOCKS, "select k, round(avg(case when rank <= k then 1.0::double else 0 end), 6) as recall from gt left join bk using (s1, r), (select unnest([5, 10, 20, 40, 60, 100])::int as k) group by k"),
     "reduction_ratio": with_(BLOCKS, "select country, m as pairs, round(1 - m::double / (a * b), 9) as ratio from (select country, count(*) as m from bk group by 1) join (select country, count(*) as a from n1 group by 1) using (country) join (select country, count(*) as b from n2 group by 1) using (country)"),
     "record_top3": with_(BLOCKS, "select r, count(*) as n_s1_for_r, " + ", ".join(f"round(coalesce(list_sort(list(cos), 'desc')[{k}], 0), 6) as t{k}" for k in (1, 2, 3)) + " from bk group by r"),
-    "record_context": with_(BLOCKS, """select s1, r, round(cos / max(cos) over (partition by s1), 6) as cos_rel_s1, round(cos - max(cos) over (partition by s1), 6) + 0.0::double as cos_gap_s1, count(*) over (partition by s1) as n_cand, n as n_s1_for_r,
+    "record_context": with_(BLOCKS, """, rb as (select s1, r, round(cos, 9) as cos from bk) select s1, r, round(cos / max(cos) over (partition by s1), 6) as cos_rel_s1, round(cos - max(cos) over (partition by s1), 6) + 0.0::double as cos_gap_s1, count(*) over (partition by s1) as n_cand, n as n_s1_for_r,
 round(t[1], 6) as cos_top1_r, round(cos - comp, 6) + 0.0::double as cos_margin_r, round(cos / (comp + 1e-6::double), 3) as cos_ratio_r, (1 + (t[1] > cos)::int + (coalesce(t[2], 0) > cos)::int + (coalesce(t[3], 0) > cos)::int)::bigint as cos_rank_r
-from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as comp from bk join (select r, count(*) as n, list_sort(list(cos), 'desc') as t from bk group by r) using (r))"""),
+from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as comp from rb join (select r, count(*) as n, list_sort(list(cos), 'desc') as t from rb group by r) using (r))"""),
     "set_features": with_(BLOCKS, f"select s1, r, {', '.join(SET_COLUMNS)} {JOINED}"),
     "ngram_jaccard": with_(BLOCKS, f"select s1, r, round({jaccard(_grams('a.name_core', 3), _grams('b.name_core', 3))}, 6) as tri_jac, round({jaccard(_grams('a.name_core', 2), _grams('b.name_core', 2))}, 6) as bi_jac {JOINED}"),
     "jaro_winkler": with_(BLOCKS, f"select s1, r, round(case when a.name_core = b.name_core then 1 else jaro_winkler_similarity(a.name_core, b.name_core) end, 6) as nm_jw {JOINED}"),

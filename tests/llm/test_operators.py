@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from matchloom.llm import audio, decontamination, html_extraction, licenses, mixing, pii, simhash, substring_dedup, suffix_sort, token_counts, toxicity
@@ -66,7 +67,7 @@ def test_mix(spark, odd, none):
     assert np.mean([v for k, v in taken.items() if k % 2]) > 1.3 * np.mean([v for k, v in taken.items() if not k % 2])
 
 
-PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_spliced_counts_are_those_of_whole_texts():

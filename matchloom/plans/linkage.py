@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocking, context, decode, features, learning
 from ..operators.normalize import normalize
+from ..sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -45,10 +46,10 @@ def featured(one: DataFrame, two: DataFrame, blocks: DataFrame) -> tuple[DataFra
 def link(records1: DataFrame, records2: DataFrame, truth: DataFrame, config: LinkageConfig = LinkageConfig()) -> tuple[DataFrame, DataFrame]:
     """Scored pairs (p1, p2 out of fold) and the matches that decoding accepts."""
     one, two, blocks = candidates(records1, records2, config)
-    rows, names = featured(one, two, blocks.cache())
-    rows = learning.label(rows, truth).cache()
-    scored = learning.out_of_fold(rows, names, "p1", trees=config.trees).drop("fold")
+    rows, names = featured(one, two, materialise(blocks, "blocks"))
+    rows = materialise(learning.label(rows, truth), "pairs")
+    scored = materialise(learning.out_of_fold(rows, names, "p1", trees=config.trees).drop("fold"), "p1")
     second = context.stage2_context(scored.where(F.col("p1") >= config.p_min))
     more = [c for c in second.columns if c not in rows.columns]
-    final = learning.cross_fit(second, [*names, *more], "p2", trees=config.trees)
+    final = learning.cross_fit(materialise(second, "stage2"), [*names, *more], "p2", trees=config.trees)
     return final, decode.decode(final.select("country", "s1", "r", F.col("p2").alias("p")), config.tau, config.gate)

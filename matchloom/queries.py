@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -429,15 +428,10 @@ def orphan_weights(spark, sf_dir):
     return learning.orphan_weights(pairs.select("s1", "r"), truth, 5.0)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
-    return f"{shared.rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
-
-
 @query
 def tsv_roundtrip(spark, sf_dir):
     """The records written as unquoted TSV and read back."""
-    path = _folder(spark, "records-tsv")
+    path = tables.shared_folder(spark, "records-tsv")
     tables.write_tsv(universe(spark, sf_dir)[1].toDF("entity_id", "business_name", "business_address", "country"), path)
     return tables.read_records(spark, path)
 
@@ -446,7 +440,7 @@ def tsv_roundtrip(spark, sf_dir):
 def truth_lists(spark, sf_dir):
     """The truth as comma-joined lists of all entities in TSV, read back as pairs."""
     entities, _, truth = universe(spark, sf_dir)
-    path = _folder(spark, "truth-tsv")
+    path = tables.shared_folder(spark, "truth-tsv")
     tables.write_tsv(decode.result_lists(truth, entities).toDF("source1_entity_id", "matched_entity_ids"), path)
     return tables.read_truth(spark, path)
 
@@ -508,7 +502,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str
     one, two, truth, found = blocks(spark, sf_dir)
     sets = features.attach_records(found, one, two).select("s1", "r", *(c.alias(n) for n, c in features.set_features().items()))
     rows = context.record_context(found, context.record_stats(found)).join(sets, ["s1", "r"])
-    return learning.label(rows, truth).cache(), [*features.set_features(), *STAGE1, *CONTEXT]
+    return tables.materialise(learning.label(rows, truth), "training-rows"), [*features.set_features(), *STAGE1, *CONTEXT]
 
 
 @query

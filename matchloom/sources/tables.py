@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -81,3 +83,17 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Dat
     if not fs.exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which driver and executors share; a local one where it is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='matchloom-')}")
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df written to the shared folder and read again, so that later plans stay small."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

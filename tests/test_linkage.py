@@ -178,3 +178,12 @@ def test_entry(spark):
     names, sql = set(__spark_entry__.queries()), set(__spark_entry__.oracle_sql())
     assert sql <= names and json.dumps(sorted(names))
     assert __spark_entry__.entry(spark).columns == ["country", "s1", "r", "nk", "score", "cos", "rank"]
+
+
+def test_linkage_end_to_end(spark):
+    from matchloom.plans.linkage import LinkageConfig, link
+
+    entities, recs, truth = universe(spark, SMALL)
+    scored, matches = link(entities, recs, truth, LinkageConfig(candidates=20, trees=2))
+    assert {"p1", "p2"} <= set(scored.columns)
+    assert metrics.macro_f05(matches, truth, entities).first()["f05"] > 0.9

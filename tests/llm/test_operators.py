@@ -302,6 +302,35 @@ def test_contamination(spark, odd, none):
     assert decontamination.find_contamination(none, benchmark).count() == 0 and decontamination.find_contamination(docs, benchmark.limit(0)).count() == 0
 
 
+def test_seeds_lose_no_match(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(60)]
+    lengths = (1, 3, 7, 8, 9, 15, 16, 38, 41, 59, 90)
+    items = [[rnd.choice(common) if rnd.random() < 0.5 else word() for _ in range(n)] for n in lengths]
+    rows = []
+    for item in items:
+        for step in range(2, 12):
+            for shift in (0, step // 2):
+                for kind in range(3):  # words changed, left out, added
+                    edited = [x for k, w in enumerate(item) for x in ([w], [[word()], [], [word(), w]][kind])[k % step == shift]]
+                    rows.append([rnd.choice(common) for _ in range(25)] + edited + [rnd.choice(common) for _ in range(25)])
+    rows += [[rnd.choice(common)] * 3 + item + [word()] for item in items for _ in range(5)]
+    want = {}
+    for d, row in enumerate(rows):
+        ids = {w: k for k, w in enumerate(dict.fromkeys(row))}
+        for k, item in enumerate(items):
+            score = decontamination.align(np.array([ids.get(w, -1) for w in item]), np.array([ids[w] for w in row]))[0]
+            if score >= min(8, len(item)) and (score >= 0.5 * len(item) or score >= 20):
+                want[d, k] = score
+    docs = frame(spark, [(d, " ".join(row), "s") for d, row in enumerate(rows)])
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    for block in (10**6, 60):
+        found = decontamination.find_contamination(docs, benchmark, block).collect()
+        assert {(r["doc_id"], r["item_id"]): r["aligned"] for r in found} == want
+    assert decontamination.drop_contaminated(docs, benchmark).count() == len(rows) - len({d for d, _ in want})
+
+
 def test_alignment():
     def plain(a, b):
         best, h = 0, np.zeros((len(a) + 1, len(b) + 1), int)

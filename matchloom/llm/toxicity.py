@@ -1,11 +1,11 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine by a block-max inverted index.
 
 Terms are words and their first 4 to 6 letters, so that inflected and compound forms share terms. The vocabulary
-holds the terms that mark toxic examples best (log-likelihood ratio), out of a sample of at most EXAMPLES labelled
+holds the terms, more frequent in toxic examples than in others, that mark those best (log-likelihood ratio), out of a sample of at most EXAMPLES labelled
 rows; document frequencies for the weights are counted over all documents. The examples stand in an inverted index
 whose postings are cut into blocks of BLOCK examples, each with its largest weight. A query adds up the block maxima
-of its terms, visits the blocks of the highest bounds and then only those that can still reach its NEAREST best
-examples, so the neighbours are exact. Their labels vote with the square of the cosine, a weak prior joins in, and
+of its terms, visits the blocks of the highest bounds and then those that can still reach its NEAREST best examples,
+or, where these are many, whole posting lists; so the neighbours are exact. Their labels vote with the square of the cosine, a weak prior joins in, and
 Platt scaling fitted on left-one-out votes of the examples makes the vote a probability. The neighbours are the
 evidence. A text without any term of the vocabulary gets the share of toxic ones among such examples.
 
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: How many times more often a term must stand in toxic examples than in others.
-LIFT = 3.0
 #: Bound of the labelled sample, of the vocabulary, and what a term must reach (log-likelihood ratio).
 EXAMPLES, TERMS, LEAST = 20_000, 4096, 20.0
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
 #: Blocks that are scored before the threshold is set.
 VISITED = 4
+#: Share of the blocks from which on whole posting lists are summed up.
+WHOLE = 0.125
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]{2,}")
 #: Rows whose texts a worker holds as Python strings at a time.
@@ -88,7 +88,7 @@ def pick_terms(statistics: DataFrame, toxic: int, clean: int, terms: int = TERMS
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     ratio = 2 * (part(F.col("toxic"), df * (toxic / n)) + part(F.col("clean"), df * (clean / n)) + part(toxic - F.col("toxic"), (n - df) * (toxic / n)) + part(clean - F.col("clean"), (n - df) * (clean / n)))
-    over = F.col("toxic") * float(clean) > LIFT * F.col("clean") * float(toxic)
+    over = F.col("toxic") * float(clean) > F.col("clean") * float(toxic)
     best = statistics.where(over).withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(terms)
     return [r["term"] for r in best.select("term").collect()]
 
@@ -125,6 +125,7 @@ class BlockMaxIndex:
         self.owner, self.weight, term = owner[order], weight[order], term[order]
         cell = term * self.blocks + self.owner // BLOCK
         self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
+        self.first = np.searchsorted(term, np.arange(terms + 1))
         self.most = np.zeros((terms, self.blocks))
         np.maximum.at(self.most.reshape(-1), cell, self.weight)
 
@@ -136,27 +137,45 @@ class BlockMaxIndex:
         at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
         return np.bincount(self.owner[at], self.weight[at] * np.repeat(np.repeat(weights, len(some)), count), self.n)
 
+    def all_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all examples, by whole posting lists; the same sums as those of scores."""
+        found = np.zeros(self.n)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            part = slice(self.first[t], self.first[t + 1])
+            found[self.owner[part]] += self.weight[part] * w
+        return found
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k best examples but leave, best first, equal ones by position.
 
         The blocks with the highest bounds set a threshold; of the others those that may reach it are scored together.
         """
         bound = weights @ self.most[terms]
-        queue = np.argsort(-bound, kind="stable")
-        queue = queue[bound[queue] > 0]
-        found = np.zeros(self.n)
-        for some in (queue[:VISITED], queue[VISITED:]):
-            if leave >= 0:
-                found[leave] = 0
-            worst = np.partition(found, self.n - k)[self.n - k] if self.n > k else 0.0
-            # a block whose bound equals the threshold may hold an equal example of a lower position
-            some = some[bound[some] >= worst - 1e-12]
-            if len(some):
-                found = found + self.scores(terms, weights, some)
+        some = np.argpartition(-bound, VISITED)[:VISITED] if self.blocks > VISITED else np.arange(self.blocks)
+        some = some[bound[some] > 0]
+        found, worst = self.scores(terms, weights, some), 0.0
+        if leave >= 0:
+            found[leave] = 0
+        seen = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        seen = found[seen[seen < self.n]]
+        if len(seen) > k:
+            worst = np.partition(seen, len(seen) - k)[len(seen) - k]
+        # a block whose bound equals the threshold may hold an equal example of a lower position
+        more = (bound > 0) & (bound >= worst - 1e-12)
+        more[some] = False
+        more = np.flatnonzero(more)
+        if len(more) > WHOLE * self.blocks:
+            found = self.all_scores(terms, weights)
+        elif len(more):
+            found = found + self.scores(terms, weights, more)
         if leave >= 0:
             found[leave] = 0
-        hit = np.flatnonzero(found > 0)
-        keep = hit[np.lexsort((hit, -found[hit]))][:k]
+        hit = np.flatnonzero(found >= worst if worst > 0 else found > 0)
+        if len(hit) > k:
+            least = np.partition(found[hit], len(hit) - k)[len(hit) - k]
+            above, equal = hit[found[hit] > least], hit[found[hit] == least]
+            hit = np.concatenate([above, equal[: k - len(above)]])
+        keep = hit[np.lexsort((hit, -found[hit]))]
         return keep, found[keep]
 
 

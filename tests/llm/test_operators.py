@@ -260,6 +260,24 @@ def test_block_max_neighbours_are_exact():
             assert np.allclose(found, cos[order]) and len(at) == len(order)
 
 
+def test_terms_little_more_frequent_in_toxic_examples_stay(spark):
+    statistics = spark.createDataFrame([("strong", 400, 20), ("weak", 600, 1200), ("even", 500, 2000), ("clean", 100, 3000)], "term string, toxic long, clean long")
+    assert toxicity.pick_terms(statistics, 2000, 8000) == ["strong", "weak"]
+
+
+def test_whole_posting_lists_give_the_sums_of_blocks():
+    rng = np.random.default_rng(14)
+    terms = [np.sort(rng.choice(9, rng.integers(1, 5), replace=False)) for _ in range(3000)]
+    index = toxicity.BlockMaxIndex([(t, np.full(len(t), len(t) ** -0.5)) for t in terms], 9)
+    for q in range(0, 3000, 50):
+        weights = np.full(len(terms[q]), len(terms[q]) ** -0.5)
+        full = index.all_scores(terms[q], weights)
+        assert (full == index.scores(terms[q], weights, np.arange(index.blocks))).all()
+        at, found = index.nearest(terms[q], weights, 15)
+        want = np.lexsort((np.arange(3000), -full))[:15]
+        assert at.tolist() == want.tolist() and (found == full[want]).all()
+
+
 def test_toxicity(spark, odd, none):
     rnd = random.Random(9)
     words = ["the", "house", "river", "garden", "morning", "table"] + [f"word{chr(97 + k)}" for k in range(20)]

@@ -41,10 +41,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+AT = r"\(at\)|\[at\]|\{at\}|\sat\s"
+WRITTEN_AT = re.compile(AT, re.I)
 PROPOSALS = {
     "email": (
         re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}"),
-        re.compile(r"(?<![\w.+-])[\w.+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[\w-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[\w-]{1,24}){1,4}", re.I),
+        re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}\s?(?:{AT})\s?[\w-]{{1,63}}(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}}|\sdot\s|\.)\s?[\w-]{{1,24}}){{1,4}}", re.I),
     ),
     "ip": (re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),),
     "card": (re.compile(r"(?<![\w.-])[0-9]{4}(?:[ .-]?[0-9]{2,6}){2,4}(?![\w-])"),),
@@ -99,11 +101,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the generators, overlapping ones too."""
     found = []
-    low = text.lower() if "dot" in text or "at" in text else ""
     for kind, patterns in PROPOSALS.items():
         for k, pattern in enumerate(patterns):
-            if kind == "email" and (k == 0 and "@" not in text or k == 1 and not ("(at)" in low or "[at]" in low or "{at}" in low or " dot " in low)):
-                continue
+            if kind == "email" and (k == 0 and "@" not in text or k == 1 and not WRITTEN_AT.search(text)):
+                continue  # no match without it
             if kind == "ip" and ":" not in text:
                 continue
             found += [(kind, *m.span()) for m in pattern.finditer(text)]

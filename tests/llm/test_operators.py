@@ -113,6 +113,15 @@ def test_trees_choose_further_spans():
         assert chosen.any() and y[own][chosen].mean() > 0.95 and chosen[y[own] == 1].mean() > 0.8
 
 
+def test_written_out_addresses_are_proposed_whatever_else_the_text_holds():
+    model, limits = pii.fit_selector()
+    for form in ("jane.doe at example.com", "jane.doe at example[dot]com", "jane.doe at example(dot)com", "jane.doe at example dot com", "JANE (AT) HOST (DOT) COM"):
+        for text in (f"please write mail to {form}", f"please write mail to {form} by dot or (at)"):
+            assert ("email", 21, 21 + len(form)) in pii.proposed_spans(text)
+        spans = pii.find_spans([f"please write mail to {form}"], model, limits)[0]
+        assert form.isupper() or [s[:3] for s in spans] == [("email", 21, 21 + len(form))]
+
+
 def test_pii_digests_and_redaction(spark, odd, none):
     text = "call +1 (017) 555-7713 or a.b@mail.example.com, 4111 1111 1111 1111 from 10.0.0.1"
     docs = frame(spark, [(1, text, "a"), (2, "clean text of 12 words", "a"), *ODD])

@@ -1,7 +1,9 @@
 """Licence notices: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Those that hold one of the CUES are classified by a multinomial logistic
-regression on sparse word n-grams (1 to 3 words) into a licence family or "unknown". It is trained here on paragraphs
+Paragraphs are the lines of a text, and lines up to a blank one joined, as notices may be wrapped; lines that are a
+notice by themselves part those. Paragraphs that cover enough of any template to be confirmed (all others could not be
+told anyway) are classified by a multinomial logistic regression on sparse word n-grams (1 to 3 words) into a licence
+family or "unknown". It is trained here on paragraphs
 drawn from notice templates and, as unknown, from sentences about licences that name no family and from running text,
 with words dropped, changed and added, with a fixed seed. A temperature fitted on held-out paragraphs calibrates the
 probabilities. A family is told where its probability reaches CONFIDENT and a template of the family confirms it: its
@@ -27,23 +29,24 @@ CONFIDENT, CONFIRMED = 0.6, 0.6
 DRAWN = 60
 #: Longer paragraphs are classified in overlapping windows of so many words.
 WINDOW = 200
+#: Words of the pieces in which joined lines are classified.
+PIECES = (24, 48)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 VERSION = re.compile(r"\bv(?:\. ?)?(?=[0-9])")
+#: German for "with", but not before "license" or after an SPDX tag.
+GERMAN_MIT = re.compile(r"(?<!identifier: )\b[Mm]it\b(?![\W_]+(?:licen[cs]|lizenz|style))")
 #: Words of templates of so many families name none of them.
 COMMON = 5
 
-# Strings one of which any notice holds (lower case).
-CUES = ("licen", "copyright", "copyleft", "spdx", "gpl", "public domain", "all rights reserved", "creative commons", "cc by", "cc-by", "cc0", "lizenz")
-
 # Usual short notices of licence families.
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"),
     "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL version 3.", "Released under the GPLv3 license."),
     "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL version 2.", "Released under the GPLv2 license."),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the LGPL version 3.", "Released under the terms of the GNU Lesser General Public License, version 2.1."),
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL version 3 license.", "This program is licensed under the AGPLv3."),
-    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license.", "SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD license.", "Use of this source code is governed by a BSD-style license."),
+    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD license.", "Use of this source code is governed by a BSD-style license."),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Released under the MPL 2.0 license."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under CC-BY 3.0.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
@@ -62,7 +65,8 @@ OTHERS = (
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case; numbers keep inner dots, so that versions stay whole."""
+    """Words in lower case; numbers keep inner dots, so that versions stay whole; a German "mit" becomes "with"."""
+    text = GERMAN_MIT.sub("with", text)
     return [w for x in WORD.findall(VERSION.sub("version ", text.lower().replace("gplv", "gpl v").replace("gpl-", "gpl v"))) for w in ([x] if "." not in x or x.replace(".", "").isdigit() else x.split("."))]
 
 
@@ -127,6 +131,11 @@ class LicenseClassifier:
         self.rare = {w: float(np.log(1 + total / c)) for w, c in n.items()}
         families = Counter(w for texts in self.templates.values() for w in frozenset().union(*texts))
         others = {w for t in OTHERS for w in words_of(t)}
+        self.all_templates = [t for texts in self.templates.values() for t in texts]
+        self.shares: dict[str, list[tuple[int, float]]] = {}
+        for k, t in enumerate(self.all_templates):
+            for w in t:
+                self.shares.setdefault(w, []).append((k, self.rare[w] / sum(self.rare[x] for x in t)))
         self.naming = {w for w, c in families.items() if c < COMMON and w not in others and not w[0].isdigit()}
 
     def classify(self, words: list[str]) -> tuple[str, float]:
@@ -140,26 +149,81 @@ class LicenseClassifier:
         own = set(words)
         return max((sum(self.rare[w] for w in t & own) / sum(self.rare[w] for w in t) for t in self.templates.get(family, ()) if t & own & self.naming), default=0.0)
 
-    def notices(self, text: str | None) -> list[tuple[int, int, int, str, float, float]]:
-        """Paragraph, start, end, family, probability and similarity of the confirmed notices of a text."""
-        if not text or not any(c in text.lower() for c in CUES):
+    def coverable(self, own: set[str]) -> bool:
+        """Whether confirm may reach CONFIRMED for any family, with these words or fewer."""
+        own = own & self.shares.keys()
+        if own.isdisjoint(self.naming):
+            return False
+        covered = [0.0] * len(self.all_templates)
+        for w in own:
+            for k, share in self.shares[w]:
+                covered[k] += share
+        return any(c >= CONFIRMED - 1e-9 and not self.naming.isdisjoint(t & own) for c, t in zip(covered, self.all_templates, strict=True))
+
+    def told(self, words: list[str]) -> tuple[str, float, float] | None:
+        """Family, probability and similarity of a confirmed piece."""
+        if self.coverable(set(words)):
+            family, p = self.classify(words)
+            if family != "unknown" and p >= CONFIDENT and (s := self.confirm(family, words)) >= CONFIRMED:
+                return family, p, s
+        return None
+
+    def line_notice(self, words: list[str]) -> tuple[str, float, float] | None:
+        best = None
+        if self.coverable(set(words)):
+            for first in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+                part = words[first : first + WINDOW]
+                for piece in ([part] if len(part) <= 40 else [part, *(part[a : a + 24] for a in range(0, len(part), 12))]):
+                    if (found := self.told(piece)) and (best is None or found[1:] > best[1:]):
+                        best = found
+        return best
+
+    def wrapped_notices(self, words: list[str]) -> list[tuple[int, int, str, float, float]]:
+        """First word, end, family, probability and similarity of notices in joined lines; of those that overlap the best."""
+        if not self.coverable(set(words)):
             return []
-        out, start = [], 0
-        for k, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if any(c in low for c in CUES):
-                words, best = words_of(line), None
-                for first in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                    part = words[first : first + WINDOW]
-                    for piece in ([part] if len(part) <= 40 else [part, *(part[a : a + 24] for a in range(0, len(part), 12))]):
-                        family, p = self.classify(piece)
-                        if family != "unknown" and p >= CONFIDENT and (s := self.confirm(family, piece)) >= CONFIRMED and (best is None or (p, s) > best[1:]):
-                            best = (family, p, s)
-                if best:
-                    out.append((k, start, start + len(line), *best))
-            start += len(line) + 1
+        step, found = PIECES[0] // 2, []
+        spans = {(0, len(words))} if len(words) <= WINDOW else set()
+        spans |= {(a, min(a + n, len(words))) for n in PIECES for a in range(0, len(words), step)}
+        for a in range(0, len(words), WINDOW):
+            # words of all pieces that begin here
+            if self.coverable(set(words[a : a + 2 * WINDOW])):
+                found += [(*span, *t) for span in sorted(x for x in spans if a <= x[0] < a + WINDOW) if (t := self.told(words[slice(*span)]))]
+        out: list[tuple[int, int, str, float, float]] = []
+        for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in out) and x[2] not in {y[2] for y in out}:
+                out.append(x)
         return out
 
+    def notices(self, text: str | None) -> list[tuple[int, int, int, str, float, float]]:
+        """First line, start, end, family, probability and similarity of the confirmed notices of a text."""
+        if not text:
+            return []
+        lines = text.split("\n")
+        split = [words_of(x) for x in lines]
+        if not self.coverable(set().union(*split)):
+            return []
+        starts = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+        out, run = [], []
+
+        def end_run() -> None:
+            if len(run) > 1:
+                at = [k for k in run for _ in split[k]]
+                for a, b, *found in self.wrapped_notices([w for k in run for w in split[k]]):
+                    out.append((at[a], starts[at[a]], starts[at[b - 1]] + len(lines[at[b - 1]]), *found))
+            run.clear()
+
+        for k, line in enumerate(lines):
+            if found := self.line_notice(split[k]):
+                end_run()
+                out.append((k, starts[k], starts[k] + len(line), *found))
+            elif line.strip():
+                run.append(k)
+            else:
+                end_run()
+        end_run()
+        return sorted(out)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))

@@ -381,6 +381,28 @@ def test_licenses(spark, odd, none):
     assert {r["n_notices"] for r in licenses.digests(licenses.scan_licenses(odd)).collect()} == {0} and licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_notices_and_openings_without_cues():
+    texts = {
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "mit",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl-3.0",
+    }
+    for text, family in texts.items():
+        found = licenses.classifier().notices(f"Other text stands here.\n\n{text}\n\nThe end.")
+        assert [n[3] for n in found] == [family] and found[0][:2] == (2, 25) and found[0][2] <= 25 + len(text)
+    for text in ("Er kam mit dem Zug.\nIn the end it was the same.", "Permission was granted.\n\nThe software is free of charge."):
+        assert licenses.classifier().notices(text) == []
+
+
+def test_no_paragraph_that_confirms_is_skipped():
+    made, rnd = licenses.classifier(), random.Random(15)
+    words = sorted({w for t in made.all_templates for w in t})
+    for _ in range(2000):
+        own = [w for w in rnd.choice(made.all_templates) if rnd.random() < 0.75] + rnd.sample(words, 2)
+        assert made.coverable(set(own)) == any(made.confirm(f, own) >= licenses.CONFIRMED for f in licenses.TEMPLATES)
+
+
 def test_audio(spark, odd, none):
     rows = audio.audio_features(odd, keep_media=True).collect()
     for r in rows:

@@ -200,6 +200,17 @@ def test_html_by_structure_and_difference(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_no_article_hides_other_main_text():
+    def text(page):
+        lines = html_extraction.page_lines(page)
+        flags, owned = html_extraction.main_flags(lines)
+        return [x[0] for x, keep in zip(lines, flags, strict=True) if keep], owned
+
+    assert text(PAGE.format("<article><p>One</article><article><p>Two, longer</article>")) == (["One", "Two, longer"], True)
+    assert text(PAGE.format("<main><p>The long text of the page</p><article><p>Teaser</article></main>")) == (["The long text of the page", "Teaser"], False)
+    assert text(PAGE.format("<p>By us</p><article><p>The long text of the page</article>")) == (["The long text of the page"], True)
+
+
 def test_shared_lines_are_longest_subsequences():
     rnd = random.Random(5)
     for _ in range(500):

@@ -195,11 +195,58 @@ def test_html_by_structure_and_difference(spark):
     site = "<body><div>Top line</div><div>{}</div><div>Below</div></body>"
     rows = [(1, "http://h.x/a?u=1", article), (2, "http://h.x/b", article), (3, "http://s.x/1", site.format("own one")), (4, "http://s.x/2", site.format("own two")), (5, None, None), (6, "odd", ""), (None, "http://s.x/2", site.format("own two"))]
     made = {(r["page_id"], r["url"]): r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert made[1, "http://h.x/a?u=1"] == made[2, "http://h.x/b"] == "A & b\nOne two three\nFour"
+    assert made[1, "http://h.x/a?u=1"] == made[2, "http://h.x/b"] == "A & b\n\nOne two three\n\nFour"
     assert made[3, "http://s.x/1"] == "own one" and made[4, "http://s.x/2"] == "own two" and made[5, None] == "" and made[6, "odd"] == ""
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_whole_pages_against_a_plain_parser(spark):
+    """On the given pages, each of which has one article: the blocks of the article by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks, self.part, self.skip = 0, [], [], []
+
+        def end_block(self):
+            line = " ".join("".join(self.part).split())
+            self.blocks += [line] if line else []
+            self.part = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.part.append(" ")
+            elif tag not in html_extraction.INLINE:
+                self.end_block()
+            if tag == "article":
+                self.depth += 1
+            own = dict(attrs)
+            if self.depth and (self.skip or html_extraction.is_furniture(tag, " ".join(f'{k}="{v or ""}"' for k, v in own.items()), True) or tag in ("script", "style")) and tag not in html_extraction.VOID:
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in html_extraction.INLINE:
+                self.end_block()
+            if tag == "article":
+                self.depth -= 1
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.part.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(pages).collect()}
+    for r in pages.collect():
+        plain = Article()
+        plain.feed(r["html"])
+        plain.close()
+        plain.end_block()
+        assert made[r["page_id"]] == "\n\n".join(plain.blocks), r["url"]
+
+
 def test_no_article_hides_other_main_text():
     def text(page):
         lines = html_extraction.page_lines(page)

@@ -28,6 +28,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .suffix_sort import same_strings, suffix_array
+from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
@@ -48,6 +49,7 @@ STEP = 50
 SHARD, HOT = 4 << 20, 6 << 20
 
 ODD = 0x9E3779B97F4A7C15
+SALTS = [k.to_bytes(4, "little") for k in range(SPAN + 1)]
 BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -111,8 +113,10 @@ def anchors_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...] | None
         head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         found.append((owner[head], h[owner[head] - begin], begin + head, begin + np.append(head[1:], len(owner)) - 1 + LENGTH))
     at, gram, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    piece = hashes.of(a, b) ^ ((b - a) * 1000 + at - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return at, gram, piece, a, b
+    # the bytes and the anchor's place in them
+    data = raw.data
+    digests = b"".join([blake2b(data[x:y], digest_size=8, salt=SALTS[z]).digest() for x, y, z in zip(a.tolist(), b.tolist(), (at - a).tolist(), strict=True)])
+    return at, gram, np.frombuffer(digests, np.uint64), a, b
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -144,36 +148,30 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return made.groupBy(made.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def repeated_starts(pieces: list[tuple[bytes, int, int]], folder: str | None) -> list[np.ndarray]:
-    """For each piece (bytes, id of its text, place in it) the starts of strings of LENGTH bytes that are repeated.
+def repeated_starts(raws: list[bytes], text: np.ndarray, place: np.ndarray, folder: str | None) -> np.ndarray:
+    """Starts, in the pieces laid end to end, of strings of LENGTH bytes that are repeated; in order.
 
-    Strings are the same one if text and place agree; id 0 marks a piece that occurs elsewhere as a whole.
+    text and place: of each piece the id of its text, and where it begins there. Strings are the same one if text and
+    place agree; id 0 marks a piece that occurs elsewhere as a whole.
     """
-    t = np.concatenate([np.frombuffer(p, np.uint8) for p, _, _ in pieces])
-    size = np.array([len(p) for p, _, _ in pieces])
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    order = suffix_array(t, folder)
-    owner = np.searchsorted(first, order, side="right") - 1
-    fits = order - first[owner] + LENGTH <= size[owner]
-    order, owner = order[fits].astype(np.int64), owner[fits]
-    full = np.full(max(0, len(order) - 1), LENGTH)
-    equal = same_strings(t, order[:-1], order[1:], full, full)
-    run = np.concatenate([[0], np.cumsum(~equal)]) if len(order) else np.zeros(0, int)
-    text = np.array([x for _, x, _ in pieces], np.uint64)[owner]
-    place = np.array([x for _, _, x in pieces], np.int64)[owner] + order - first[owner]
-    sign = text * np.uint64(ODD) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    hit = np.zeros(len(order), bool)
-    if len(order):
-        heads = np.flatnonzero(np.concatenate([[True], ~equal]))
-        differs = np.maximum.reduceat(sign, heads) != np.minimum.reduceat(sign, heads)
-        # strings that agree have one sign only if they are one and the same, unless a whole piece occurs elsewhere
-        differs |= np.minimum.reduceat(text, heads) == 0
-        hit = differs[run]
-    out: list[np.ndarray] = []
-    where = np.sort(order[hit])
-    for a, b in zip(first, first + size, strict=True):
-        out.append(where[np.searchsorted(where, a) : np.searchsorted(where, b)] - a)
-    return out
+    t = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(x) for x in raws])
+    first = np.cumsum(size) - size
+    order, prefix = sort_suffixes(t, LENGTH, folder)
+    owner = np.repeat(np.arange(len(raws), dtype=np.int32), size)
+    fits = np.flatnonzero(order + LENGTH <= (first + size)[owner[order]])
+    if not len(fits):
+        return fits
+    # neighbours that share LENGTH bytes or more, with all that stands between them, begin with the same string
+    least = np.minimum.reduceat(prefix, np.concatenate([[0], fits[:-1] + 1]))[: len(fits)]
+    heads = np.flatnonzero(np.concatenate([[True], least[1:] < LENGTH]))
+    order = np.asarray(order)[fits].astype(np.int64)
+    owner = owner[order]
+    sign = text[owner] * np.uint64(ODD) + (place[owner] + order - first[owner]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    differs = np.maximum.reduceat(sign, heads) != np.minimum.reduceat(sign, heads)
+    # strings that agree have one sign only if they are one and the same, unless a whole piece occurs elsewhere
+    differs |= np.minimum.reduceat(text[owner], heads) == 0
+    return np.sort(order[np.repeat(differs, np.diff(np.append(heads, len(order))))])
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,54 +180,16 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner], owner
 
 
-def differing(keys: np.ndarray, sign: np.ndarray, always: np.ndarray) -> np.ndarray:
-    """Of rows with equal keys: whether their signs differ or one of them is marked as always."""
-    order = np.argsort(keys)
-    heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    hit = (np.maximum.reduceat(sign[order], heads) != np.minimum.reduceat(sign[order], heads)) | np.logical_or.reduceat(always[order], heads)
-    out = np.empty(len(keys), bool)
-    out[order] = np.repeat(hit, np.diff(np.append(heads, len(keys))))
-    return out
-
-
-def shard_starts(raws: list[bytes], text: np.ndarray, place: np.ndarray, folder: str | None, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_starts(raws: list[bytes], text: np.ndarray, place: np.ndarray, folder: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece, first and end (exclusive) of the runs of repeated starts in a shard's pieces; arguments as repeated_starts."""
-    t = np.frombuffer(b"".join(raws), np.uint8)
+    starts = repeated_starts(raws, text, place, folder)
     size = np.array([len(x) for x in raws])
     first = np.cumsum(size) - size
-    hashes = Hashes(t, powers)
-    starts, owner = spread(first, np.maximum(size - LENGTH + 1, 0))
-    none = np.zeros(0, np.int64)
-    if not len(starts):
-        return none, none, none
-    sign = text[owner] * np.uint64(ODD) + (place[owner] + starts - first[owner]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    can = np.flatnonzero(differing(hashes.of(starts, starts + LENGTH), sign, text[owner] == 0))
-    if not len(can):
-        return none, none, none
-    # runs of candidate starts within a piece
-    new = np.concatenate([[True], (np.diff(starts[can]) != 1) | (np.diff(owner[can]) != 0)])
-    head = np.flatnonzero(new)
-    a, b = starts[can[head]], starts[can[np.append(head[1:], len(can)) - 1]] + LENGTH
-    who, mark = owner[can[head]], sign[can[head]]
-    content = hashes.of(a, b) ^ (b - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    whole = differing(content, mark, text[who] == 0)
-    _, one, group = np.unique(content, return_index=True, return_inverse=True)
-    runs = [(t[a[k] : b[k]].tobytes(), 0 if whole[k] else int(text[who[k]]), int(place[who[k]] + a[k] - first[who[k]])) for k in one.tolist()]
-    found = [intervals(x) for x in repeated_starts(runs, folder)]
-    counts = np.array([len(f[0]) for f in found])
-    froms = np.array([x for f in found for x in f[0]], np.int64)
-    tos = np.array([x for f in found for x in f[1]], np.int64)
-    at, member = spread((np.cumsum(counts) - counts)[group], counts[group])
-    shift = (a - first[who])[member]
-    return who[member], froms[at] + shift, tos[at] + shift
-
-
-def intervals(starts: np.ndarray) -> tuple[list[int], list[int]]:
-    """Runs of consecutive starts: first ones and ends (exclusive)."""
-    if not len(starts):
-        return [], []
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    return starts[np.concatenate([[0], cut])].tolist(), (starts[np.concatenate([cut - 1, [len(starts) - 1]])] + 1).tolist()
+    owner = np.searchsorted(first, starts, side="right") - 1
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(owner) != 0)])) if len(starts) else starts
+    last = np.append(head[1:], len(starts)) - 1 if len(starts) else starts
+    who = owner[head]
+    return who, starts[head] - first[who], starts[last] + 1 - first[who]
 
 
 COVER = "gram long, piece long, froms array<int>, tos array<int>"
@@ -239,7 +199,7 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
     """COVER of pieces (gram, piece, c, t1, at, before, raw): all pieces of a gram meet in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size, last = Powers(), [], 0, None
+        held, size, last = [], 0, None
 
         def told() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
@@ -247,7 +207,7 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
             once = column("c") == 1
             text = np.where(once, column("t1").view(np.uint64) | np.uint64(1), np.uint64(0))
             with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) as folder:
-                who, froms, tos = shard_starts(rows.column("raw").to_pylist(), text, column("at") - column("before"), folder, powers)
+                who, froms, tos = shard_starts(rows.column("raw").to_pylist(), text, column("at") - column("before"), folder)
             order = np.argsort(who, kind="stable")
             order = order[once[who[order]]]
             who, froms, tos = who[order], froms[order].astype(np.int32), tos[order].astype(np.int32)

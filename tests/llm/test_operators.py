@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -271,12 +272,34 @@ def test_shared_lines_are_longest_subsequences():
         assert len(made) == table[-1][-1] and made == sorted(set(made)) and all(a[k] in rest for k in made)
 
 
-def test_suffix_array():
+def test_suffixes_and_common_prefixes(monkeypatch, tmp_path):
+    """Against plain sorting, also with queues and results on disk and batches of a few tuples."""
     rnd = random.Random(6)
-    for k in range(600):
-        letters = rnd.choice([b"ab", b"abc", bytes(range(256))])
-        text = bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) * rnd.randint(1, 3)
-        assert suffix_sort.suffix_array(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    for _ in range(600):
+        letters = rnd.choice([b"ab", b"abc", b"aab", bytes(range(256))])
+        text = bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) * rnd.randint(1, 3) + b"a" * rnd.choice([0, 0, rnd.randint(1, 20)])
+        monkeypatch.setattr(suffix_sort, "WINDOW", rnd.choice([1, 2, 7, 1 << 16]))
+        cap = rnd.choice([1, 3, 10, 400])
+        order, shared = suffix_sort.sort_suffixes(np.frombuffer(text, np.uint8), cap, str(tmp_path), rnd.choice([1, 5, 1 << 20]))
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert order.tolist() == want
+        for k in range(1, len(text)):
+            n = len(os.path.commonprefix([text[want[k - 1] :], text[want[k] :]]))
+            assert shared[k] == n or n >= cap <= shared[k]
+
+
+def test_a_shard_larger_than_what_memory_holds(tmp_path):
+    """Words of a small language with copies, sorted with 1,000 numbers in memory at most and by plain sorting."""
+    rnd = random.Random(16)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    text = " ".join(rnd.choice(words) for _ in range(12_000))
+    text = (text + text[5000:25_000] + text[100:30_000]).encode()
+    order, shared = suffix_sort.sort_suffixes(np.frombuffer(text, np.uint8), 400, str(tmp_path), 1000)
+    assert isinstance(order, np.memmap) and os.listdir(tmp_path) == []
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i : i + 40_000])
+    for k in rnd.sample(range(1, len(text)), 3000):
+        a, b = text[order[k - 1] :][:500], text[order[k] :][:500]
+        assert min(shared[k], 400) == min(len(os.path.commonprefix([a, b])), 400)
 
 
 def plain_removal(texts):

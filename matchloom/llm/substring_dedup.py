@@ -7,16 +7,18 @@ same offset. A piece is what the strings of one anchor cover. Then, by gram and
 
 - a gram that occurs once has no repeated string around it;
 - a piece that occurs more than once (copies) is repeated all over;
-- pieces that occur once, of a gram that occurs more often, meet in a shard. Runs of strings whose hash has a partner
-  there are cut out (what has none can't be repeated), equal runs collapse, the runs are laid end to end and their
-  suffixes sorted by induction (suffix_sort, with queues on disk); neighbours in that order that agree in LENGTH bytes
-  are repeated strings, if they start at different places of the documents;
-- a gram with very many such pieces (over HOT bytes: a passage that many documents share) would be too much for one
-  task; its strings of LENGTH bytes are counted by hash in a shuffle that combines before it sends. That is exact too,
-  for a group of any size.
+- pieces of a gram that has several meet in a shard, laid end to end. Their suffixes are sorted by recursive induction
+  (suffix_sort: queues on disk carry suffixes and common prefixes); neighbours in that order that share LENGTH bytes
+  or more are repeated strings, if they start at different places of the documents;
+- the pieces of a gram that a large share of all documents holds (over HOT bytes) are dealt to more tasks than one: they
+  are split by place and by the content of the bytes that neighbouring strings share, down to single strings, which
+  are counted in a shuffle that combines before it sends. That is exact for a group of any size.
 
 What a text loses depends on the text alone (and on how often it occurs), so results meet the documents by two 64-bit
-hashes of the text; equality of pieces is that of gram and piece hash, 128 bits.
+hashes of the text; equality of whole pieces is that of gram hash and BLAKE2b digest.
+
+Besides, shared_passages counts the runs of over 50 words that another document holds too, whatever their length in
+bytes: passages shorter than LENGTH bytes are reported, not removed.
 
 Defined results: a null text counts as empty and has nothing to remove; repeated rows are repeated texts; texts below
 LENGTH bytes are kept; a null doc_id stays null; other columns are ignored; an empty table gives an empty result.
@@ -41,6 +43,8 @@ from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
+#: Words of a shared passage, and of the runs that anchor it.
+PASSAGE, CORE = 51, 16
 #: Positions fit into the lower bits of a hash within a segment; an anchor's strings may be parted at its end.
 SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 #: Neighbouring starts whose strings are looked at together in hot groups.
@@ -94,6 +98,12 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """For every width neighbours the position of the first least hash, by upper bits; at most 2^23 of them."""
+    least = sliding_min(h & ~LOW | np.arange(len(h), dtype=np.uint64), width)
+    return (least & LOW).astype(np.int64)
+
+
 def anchors_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...] | None:
     """Position, gram, piece hash, piece start and end of the anchors of a text; None below LENGTH bytes.
 
@@ -108,8 +118,7 @@ def anchors_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...] | None
         end = min(begin + SEGMENT, n - LENGTH + 1) + SPAN - 1
         starts = np.arange(begin, end)
         h = hashes.of(starts, starts + GRAM)
-        least = sliding_min(h & ~LOW | (starts - begin).astype(np.uint64), SPAN)
-        owner = (least & LOW).astype(np.int64) + begin
+        owner = window_minima(h, SPAN) + begin
         head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         found.append((owner[head], h[owner[head] - begin], begin + head, begin + np.append(head[1:], len(owner)) - 1 + LENGTH))
     at, gram, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -342,12 +351,78 @@ def removal(docs: DataFrame) -> DataFrame:
     return spots.groupBy("t1", "t2").agg(F.flatten(F.collect_list("f")).alias("froms"), F.flatten(F.collect_list("t")).alias("tos"))  # bounded by the text
 
 
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """t1, t2, n_shared_passages of each text that holds words which another row of docs (doc_id, text) holds too.
+
+    A shared passage is a longest run of words, at least PASSAGE of them, of which each PASSAGE neighbours stand in
+    another document in the same order; white space between words doesn't count. The whole text is one if it has so
+    many words and occurs in several rows. As for bytes, every PASSAGE neighbours have an anchor, the first of their
+    runs of CORE words with the least hash; only anchors that different texts hold are looked at, and the windows
+    around those compared by hash (64 bits, besides the anchor's).
+    """
+    texts = keyed(docs)
+
+    def hashed(text: str, powers: Powers) -> tuple[Hashes, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b" ".join(text.encode().split()), np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        return Hashes(raw, powers), np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part, found = batch.slice(begin, 1024), []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    hashes, first, end = hashed(text, powers)
+                    if len(first) < PASSAGE:
+                        continue
+                    for since in range(0, len(first) - PASSAGE + 1, SEGMENT):
+                        stop = min(since + SEGMENT, len(first) - PASSAGE + 1) + PASSAGE - CORE
+                        h = hashes.of(first[since:stop], end[since + CORE - 1 : stop + CORE - 1])
+                        owner = window_minima(h, PASSAGE - CORE + 1)
+                        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                        found.append((np.full(len(head), k), h[owner[head]].view(np.int64), (since + head).astype(np.int32), (since + np.append(head[1:], len(owner)) - 1).astype(np.int32)))
+                if found:
+                    rows, gram, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+                    rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([part.column("t1").take(rows), part.column("t2").take(rows), pa.array(gram), pa.array(low), pa.array(high)], names=["t1", "t2", "gram", "low", "high"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part, found = batch.slice(begin, 256), []
+                for k, (text, wanted) in enumerate(zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
+                    hashes, first, end = hashed(text, powers)
+                    low, high = (np.array([w[c] for w in wanted]) for c in ("low", "high"))
+                    start, _ = spread(low, high - low + 1)
+                    found.append((np.full(len(start), k), start.astype(np.int32), hashes.of(first[start], end[start + PASSAGE - 1]).view(np.int64)))
+                if found:
+                    rows, start, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                    rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([part.column("t1").take(rows), part.column("t2").take(rows), pa.array(start), pa.array(h)], names=["t1", "t2", "start", "hash"])
+
+    several = F.min("t1") != F.max("t1")
+    spots = materialise(texts.select("text", "t1", "t2").mapInArrow(anchored, "t1 long, t2 long, gram long, low int, high int"), "passage-anchors")
+    live = spots.groupBy("gram").agg(several.alias("several")).where("several").select("gram")
+    wanted = spots.join(live, "gram").groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))  # bounded by the text
+    one = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    asked = texts.join(wanted.join(one, ["t1", "t2"]), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    seen = materialise(asked.select("text", "t1", "t2", "wanted").mapInArrow(windows, "t1 long, t2 long, start int, hash long"), "passage-windows")
+    again = seen.groupBy("hash").agg(several.alias("several")).where("several").select("hash")
+    starts = seen.join(again, "hash").groupBy("t1", "t2").agg(F.array_sort(F.collect_set("start")).alias("starts"))  # bounded by the text
+    heads = F.filter("starts", lambda x, k: (k == 0) | (F.element_at("starts", F.greatest(k, F.lit(1))) != x - 1))
+    runs = starts.select("t1", "t2", F.size(heads).cast("long").alias("n_shared_passages"))
+    whole = one.where("rows > 1").join(spots.select("t1", "t2").distinct(), ["t1", "t2"]).select("t1", "t2", F.lit(1).cast("long").alias("n_shared_passages"))
+    return whole.unionByName(runs.join(whole, ["t1", "t2"], "left_anti"))
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text); with keep_text also kept.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_passages of every row of docs (doc_id, text).
 
-    kept is binary, as a removed run may end within a character.
+    With keep_text also kept: binary, as a removed run may end within a character.
     """
-    lost = materialise(removal(docs), "removal")
+    lost = materialise(removal(docs).join(shared_passages(docs), ["t1", "t2"], "full"), "removal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,8 +440,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
                 cells = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + keep_text])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cells], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
+                own = [part.column(c) for c in ("doc_id", "n_shared_passages")]
+                yield pa.RecordBatch.from_arrays([own[0], *cells[:4], own[1], *cells[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_passages", "kept"][: 6 + keep_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = keyed(docs).join(lost, ["t1", "t2"], "left").select("doc_id", "text", "froms", "tos")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    passages = F.coalesce("n_shared_passages", F.lit(0)).cast("long").alias("n_shared_passages")
+    joined = keyed(docs).join(lost, ["t1", "t2"], "left").select("doc_id", "text", "froms", "tos", passages)
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_passages long" + ", kept binary" * keep_text)

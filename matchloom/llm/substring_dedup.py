@@ -7,9 +7,10 @@ same offset. A piece is what the strings of one anchor cover. Then, by gram and
 
 - a gram that occurs once has no repeated string around it;
 - a piece that occurs more than once (copies) is repeated all over;
-- pieces of a gram that has several meet in a shard, laid end to end. Their suffixes are sorted by recursive induction
-  (suffix_sort: queues on disk carry suffixes and common prefixes); neighbours in that order that share LENGTH bytes
-  or more are repeated strings, if they start at different places of the documents;
+- pieces of a gram that has several meet in a shard. Strings that have no partner there by hash are left out, as they
+  can't be repeated; what is left is laid end to end, and its suffixes are sorted by recursive induction (suffix_sort:
+  queues on disk carry suffixes and common prefixes). Neighbours in that order that share LENGTH bytes or more are
+  repeated strings, if they start at different places of the documents;
 - the pieces of a gram that a large share of all documents holds (over HOT bytes) are dealt to more tasks than one: they
   are split by place and by the content of the bytes that neighbouring strings share, down to single strings, which
   are counted in a shuffle that combines before it sends. That is exact for a group of any size.
@@ -17,9 +18,6 @@ same offset. A piece is what the strings of one anchor cover. Then, by gram and
 What a text loses depends on the text alone (and on how often it occurs), so results meet the documents by two 64-bit
 hashes of the text; equality of whole pieces is that of gram hash and BLAKE2b digest.
 
-Besides, shared_passages counts the runs of over 50 words that another document holds too, whatever their length in
-bytes: passages shorter than LENGTH bytes are reported, not removed.
-
 Defined results: a null text counts as empty and has nothing to remove; repeated rows are repeated texts; texts below
 LENGTH bytes are kept; a null doc_id stays null; other columns are ignored; an empty table gives an empty result.
 """
@@ -35,7 +33,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -43,14 +41,14 @@ from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1
-#: Words of a shared passage, and of the runs that anchor it.
-PASSAGE, CORE = 51, 16
 #: Positions fit into the lower bits of a hash within a segment; an anchor's strings may be parted at its end.
 SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 #: Neighbouring starts whose strings are looked at together in hot groups.
 STEP = 50
-#: Bytes that are sorted at once, and bytes of a gram's pieces from which its strings are counted instead.
-SHARD, HOT = 4 << 20, 6 << 20
+#: Bytes of pieces that are looked through at once, and bytes that are sorted at once, unless one gram has more.
+PART, SHARD = 2 << 20, 4 << 20
+#: Bytes of a gram's pieces from which they are dealt to several tasks.
+HOT = 6 << 20
 
 ODD = 0x9E3779B97F4A7C15
 SALTS = [k.to_bytes(4, "little") for k in range(SPAN + 1)]
@@ -128,10 +126,15 @@ def anchors_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...] | None
     return at, gram, np.frombuffer(digests, np.uint64), a, b
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), and two hashes of the text."""
+def keys() -> tuple[Column, Column]:
+    """t1, t2: two hashes of the text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), t1 and t2."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keys())
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
@@ -189,16 +192,79 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner], owner
 
 
-def shard_starts(raws: list[bytes], text: np.ndarray, place: np.ndarray, folder: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, first and end (exclusive) of the runs of repeated starts in a shard's pieces; arguments as repeated_starts."""
-    starts = repeated_starts(raws, text, place, folder)
-    size = np.array([len(x) for x in raws])
-    first = np.cumsum(size) - size
-    owner = np.searchsorted(first, starts, side="right") - 1
-    head = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(owner) != 0)])) if len(starts) else starts
-    last = np.append(head[1:], len(starts)) - 1 if len(starts) else starts
-    who = owner[head]
-    return who, starts[head] - first[who], starts[last] + 1 - first[who]
+def differing(keys: np.ndarray, sign: np.ndarray, always: np.ndarray) -> np.ndarray:
+    """Of rows with equal keys: whether their signs differ or one of them is marked as always."""
+    order = np.argsort(keys)
+    heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    hit = (np.maximum.reduceat(sign[order], heads) != np.minimum.reduceat(sign[order], heads)) | np.logical_or.reduceat(always[order], heads)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(hit, np.diff(np.append(heads, len(keys))))
+    return out
+
+
+class Shard:
+    """Runs of strings that are to be sorted together, and the pieces that they come from."""
+
+    def __init__(self):
+        #: Different runs: bytes, id of the text (0: occurs elsewhere as a whole) and place in it.
+        self.raws, self.text, self.place, self.size = [], [], [], 0
+        #: For each run as it occurs: number of the run, its first byte in the piece, and the piece's keys.
+        self.members: list[tuple[int, int, int, int]] = []
+
+    def add(self, raws: list[bytes], text: np.ndarray, place: np.ndarray, keys: list[tuple[int, int]], powers: Powers) -> None:
+        """Takes up pieces of whole grams, without the strings that no other place of them can equal.
+
+        Equal strings have equal hashes, so what has no partner by hash is not repeated; whether the others are, is
+        decided by sorting. Runs with the same bytes are held once. Pieces that occur elsewhere (id 0) are partners only.
+        """
+        t, size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws])
+        first = np.cumsum(size) - size
+        starts, owner = spread(first, np.maximum(size - LENGTH + 1, 0))
+        if not len(starts):
+            return
+        sign = text[owner] * np.uint64(ODD) + (place[owner] + starts - first[owner]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        can = np.flatnonzero(differing(Hashes(t, powers).of(starts, starts + LENGTH), sign, text[owner] == 0))
+        if not len(can):
+            return
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(starts[can]) != 1) | (np.diff(owner[can]) != 0)]))
+        a, b = starts[can[head]], starts[can[np.append(head[1:], len(can)) - 1]] + LENGTH
+        seen: dict[bytes, int] = {}
+        for x, y, who in zip(a.tolist(), b.tolist(), owner[can[head]].tolist(), strict=True):
+            raw, own, at = t[x:y].tobytes(), int(text[who]), int(place[who] + x - first[who])
+            k = seen.get(raw)
+            if k is None:
+                k = seen[raw] = len(self.raws)
+                self.raws.append(raw)
+                self.text.append(own)
+                self.place.append(at)
+                self.size += len(raw)
+            elif (self.text[k], self.place[k]) != (own, at):
+                self.text[k] = 0
+            if own:
+                self.members.append((k, x - int(first[who]), *keys[who]))
+
+    def sorted(self, folder: str | None) -> tuple[list[tuple[int, int]], list[list[int]], list[list[int]]]:
+        """Keys of pieces, and of each the runs of repeated starts: first ones and ends (exclusive)."""
+        size = np.array([len(x) for x in self.raws], np.int64)
+        starts = repeated_starts(self.raws, np.array(self.text, np.uint64), np.array(self.place, np.int64), folder) if len(size) else size
+        first = np.cumsum(size) - size
+        low, high = np.searchsorted(starts, first).tolist(), np.searchsorted(starts, first + size).tolist()
+        spans = [intervals(starts[x:y] - f) for x, y, f in zip(low, high, first.tolist(), strict=True)]
+        found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for k, shift, *key in self.members:
+            if spans[k][0]:
+                froms, tos = found.setdefault(tuple(key), ([], []))
+                froms += [x + shift for x in spans[k][0]]
+                tos += [x + shift for x in spans[k][1]]
+        return list(found), [x for x, _ in found.values()], [x for _, x in found.values()]
+
+
+def intervals(starts: np.ndarray) -> tuple[list[int], list[int]]:
+    """Runs of consecutive starts: first ones and ends (exclusive)."""
+    if not len(starts):
+        return [], []
+    cut = np.flatnonzero(np.diff(starts) != 1) + 1
+    return starts[np.concatenate([[0], cut])].tolist(), (starts[np.concatenate([cut - 1, [len(starts) - 1]])] + 1).tolist()
 
 
 COVER = "gram long, piece long, froms array<int>, tos array<int>"
@@ -208,22 +274,20 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
     """COVER of pieces (gram, piece, c, t1, at, before, raw): all pieces of a gram meet in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        powers, held, size, last, shard = Powers(), [], 0, None, Shard()
 
-        def told() -> pa.RecordBatch:
+        def take() -> None:
             rows = pa.Table.from_batches(held)
             column = lambda c: rows.column(c).to_numpy()
-            once = column("c") == 1
-            text = np.where(once, column("t1").view(np.uint64) | np.uint64(1), np.uint64(0))
+            text = np.where(column("c") == 1, column("t1").view(np.uint64) | np.uint64(1), np.uint64(0))
+            keys = list(zip(column("gram").tolist(), column("piece").tolist(), strict=True))
+            shard.add(rows.column("raw").to_pylist(), text, column("at") - column("before"), keys, powers)
+
+        def told() -> pa.RecordBatch:
             with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) as folder:
-                who, froms, tos = shard_starts(rows.column("raw").to_pylist(), text, column("at") - column("before"), folder)
-            order = np.argsort(who, kind="stable")
-            order = order[once[who[order]]]
-            who, froms, tos = who[order], froms[order].astype(np.int32), tos[order].astype(np.int32)
-            heads = np.flatnonzero(np.diff(who, prepend=-1))
-            ends = pa.array(np.append(heads, len(who)).astype(np.int32))
-            own = [pa.array(column(c)[who[heads]]) for c in ("gram", "piece")]
-            return pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(ends, pa.array(froms)), pa.ListArray.from_arrays(ends, pa.array(tos))], names=["gram", "piece", "froms", "tos"])
+                keys, froms, tos = shard.sorted(folder)
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (froms, tos)]
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + lists, names=["gram", "piece", "froms", "tos"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -232,13 +296,17 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
             lengths = np.cumsum(pa.compute.binary_length(batch.column("raw")).to_numpy(zero_copy_only=False))
             ends, begin = np.append(np.flatnonzero(np.diff(grams)) + 1, len(grams)), 0
             for end in ends.tolist():  # a gram's pieces stay together
-                if size >= SHARD and grams[begin] != last:
-                    yield told()
+                if size >= PART and grams[begin] != last:
+                    take()
                     held, size = [], 0
+                    if shard.size >= SHARD:
+                        yield told()
+                        shard = Shard()
                 held.append(batch.slice(begin, end - begin))
                 size += int(lengths[end - 1] - (lengths[begin - 1] if begin else 0))
                 last, begin = grams[end - 1], end
         if held:
+            take()
             yield told()
 
     dealt = pieces.repartition("gram").sortWithinPartitions("gram")
@@ -318,8 +386,7 @@ def removal(docs: DataFrame) -> DataFrame:
     # bytes of the pieces that must be looked at, from one row of each text
     asked = live.where("single > 0").select("gram", "piece", "c", "rep.*", "before", "size", (F.col("bytes") > HOT).alias("hot"))
     wanted = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "piece", "c", "at", "before", "size", "hot")).alias("wanted"))  # bounded by the text
-    ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("t2"))
-    one = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    one = docs.select("doc_id", *keys()).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
     wanted = wanted.join(one, ["t1", "t2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,85 +418,20 @@ def removal(docs: DataFrame) -> DataFrame:
     return spots.groupBy("t1", "t2").agg(F.flatten(F.collect_list("f")).alias("froms"), F.flatten(F.collect_list("t")).alias("tos"))  # bounded by the text
 
 
-def shared_passages(docs: DataFrame) -> DataFrame:
-    """t1, t2, n_shared_passages of each text that holds words which another row of docs (doc_id, text) holds too.
-
-    A shared passage is a longest run of words, at least PASSAGE of them, of which each PASSAGE neighbours stand in
-    another document in the same order; white space between words doesn't count. The whole text is one if it has so
-    many words and occurs in several rows. As for bytes, every PASSAGE neighbours have an anchor, the first of their
-    runs of CORE words with the least hash; only anchors that different texts hold are looked at, and the windows
-    around those compared by hash (64 bits, besides the anchor's).
-    """
-    texts = keyed(docs)
+def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row of docs (doc_id, text).
 
-    def hashed(text: str, powers: Powers) -> tuple[Hashes, np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b" ".join(text.encode().split()), np.uint8)
-        gaps = np.flatnonzero(raw == 32)
-        return Hashes(raw, powers), np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
-
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part, found = batch.slice(begin, 1024), []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    hashes, first, end = hashed(text, powers)
-                    if len(first) < PASSAGE:
-                        continue
-                    for since in range(0, len(first) - PASSAGE + 1, SEGMENT):
-                        stop = min(since + SEGMENT, len(first) - PASSAGE + 1) + PASSAGE - CORE
-                        h = hashes.of(first[since:stop], end[since + CORE - 1 : stop + CORE - 1])
-                        owner = window_minima(h, PASSAGE - CORE + 1)
-                        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                        found.append((np.full(len(head), k), h[owner[head]].view(np.int64), (since + head).astype(np.int32), (since + np.append(head[1:], len(owner)) - 1).astype(np.int32)))
-                if found:
-                    rows, gram, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-                    rows = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([part.column("t1").take(rows), part.column("t2").take(rows), pa.array(gram), pa.array(low), pa.array(high)], names=["t1", "t2", "gram", "low", "high"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part, found = batch.slice(begin, 256), []
-                for k, (text, wanted) in enumerate(zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
-                    hashes, first, end = hashed(text, powers)
-                    low, high = (np.array([w[c] for w in wanted]) for c in ("low", "high"))
-                    start, _ = spread(low, high - low + 1)
-                    found.append((np.full(len(start), k), start.astype(np.int32), hashes.of(first[start], end[start + PASSAGE - 1]).view(np.int64)))
-                if found:
-                    rows, start, h = (np.concatenate(x) for x in zip(*found, strict=True))
-                    rows = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([part.column("t1").take(rows), part.column("t2").take(rows), pa.array(start), pa.array(h)], names=["t1", "t2", "start", "hash"])
-
-    several = F.min("t1") != F.max("t1")
-    spots = materialise(texts.select("text", "t1", "t2").mapInArrow(anchored, "t1 long, t2 long, gram long, low int, high int"), "passage-anchors")
-    live = spots.groupBy("gram").agg(several.alias("several")).where("several").select("gram")
-    wanted = spots.join(live, "gram").groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))  # bounded by the text
-    one = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    asked = texts.join(wanted.join(one, ["t1", "t2"]), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    seen = materialise(asked.select("text", "t1", "t2", "wanted").mapInArrow(windows, "t1 long, t2 long, start int, hash long"), "passage-windows")
-    again = seen.groupBy("hash").agg(several.alias("several")).where("several").select("hash")
-    starts = seen.join(again, "hash").groupBy("t1", "t2").agg(F.array_sort(F.collect_set("start")).alias("starts"))  # bounded by the text
-    heads = F.filter("starts", lambda x, k: (k == 0) | (F.element_at("starts", F.greatest(k, F.lit(1))) != x - 1))
-    runs = starts.select("t1", "t2", F.size(heads).cast("long").alias("n_shared_passages"))
-    whole = one.where("rows > 1").join(spots.select("t1", "t2").distinct(), ["t1", "t2"]).select("t1", "t2", F.lit(1).cast("long").alias("n_shared_passages"))
-    return whole.unionByName(runs.join(whole, ["t1", "t2"], "left_anti"))
-
-
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_passages of every row of docs (doc_id, text).
-
-    With keep_text also kept: binary, as a removed run may end within a character.
+    text is what is left; where a removed run ends within a character, its other bytes turn into U+FFFD. A null text
+    stays null. With keep_bytes also kept: the bytes that are left.
     """
-    lost = materialise(removal(docs).join(shared_passages(docs), ["t1", "t2"], "full"), "removal")
+    lost = materialise(removal(docs), "removal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(first, 256), []
                 for text, froms, tos in zip(*(part.column(c).to_pylist() for c in ("text", "froms", "tos")), strict=True):
-                    raw = text.encode()
+                    raw = (text or "").encode()
                     kept, spans = raw, 0
                     if froms:
                         step = np.zeros(len(raw) + 1, np.int64)
@@ -438,12 +440,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                         gone = np.cumsum(step)[:-1] > 0
                         spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-                cells = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + keep_text])]
-                own = [part.column(c) for c in ("doc_id", "n_shared_passages")]
-                yield pa.RecordBatch.from_arrays([own[0], *cells[:4], own[1], *cells[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_passages", "kept"][: 6 + keep_text])
+                        text = kept.decode("utf-8", "replace")
+                    rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), text, kept))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())[: 5 + keep_bytes]
+                cells = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cells], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"][: 6 + keep_bytes])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    passages = F.coalesce("n_shared_passages", F.lit(0)).cast("long").alias("n_shared_passages")
-    joined = keyed(docs).join(lost, ["t1", "t2"], "left").select("doc_id", "text", "froms", "tos", passages)
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_passages long" + ", kept binary" * keep_text)
+    joined = docs.select("doc_id", "text", *keys()).join(lost, ["t1", "t2"], "left").select("doc_id", "text", "froms", "tos")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + ", kept binary" * keep_bytes)

@@ -323,36 +323,15 @@ def test_repeats_are_removed(spark, none, monkeypatch, hot):
     texts = [base[a : a + rnd.randint(380, 900)] + text("xyz", rnd.randint(0, 300)) for a in (rnd.randint(0, 4000) for _ in range(30))]
     texts += [text("wxyz", rnd.randint(0, 400)) + common + text("mnop", rnd.randint(0, 400)) for _ in range(40)]
     texts += ["a" * 1000, "ab" * 700, None, "", base[:399], base[:400], base[:400], "é" * 500, base[100:1200].replace("a", "b", 1)]
-    made = {r["doc_id"]: tuple(r)[1:5] for r in substring_dedup.remove_repeats(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    rows = substring_dedup.remove_repeats(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), keep_bytes=True).collect()
+    made = {r["doc_id"]: tuple(r)[1:5] for r in rows}
     assert [made[k] for k in range(len(texts))] == plain_removal(texts)
+    for r in rows:
+        whole = texts[r["doc_id"]]
+        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and r["text"] == (r["kept"].decode("utf-8", "replace") if r["n_removed"] else whole)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def plain_passages(texts, n=51):
-    """Runs of words all of whose n neighbours another row holds too."""
-    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
-    rows, out = {}, []
-    for k, w in enumerate(words):
-        for i in range(len(w) - n + 1):
-            rows.setdefault(tuple(w[i : i + n]), set()).add(k)
-    for w in words:
-        shared = [len(rows[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)]
-        out.append(sum(x and not (i and shared[i - 1]) for i, x in enumerate(shared)))
-    return out
-
-
-def test_shared_passages(spark, odd, none):
-    rnd = random.Random(17)
-    words = lambda n: [rnd.choice("abcdefghij") + rnd.choice("klmnopqr") for _ in range(n)]
-    common = [words(n) for n in (50, 51, 52, 60, 90, 200)]
-    texts = [" ".join(words(rnd.randint(0, 80)) + rnd.choice(common)[rnd.randint(0, 9) :] + words(rnd.randint(0, 60)) + rnd.choice(common) + words(9)) for _ in range(40)]
-    texts += [" ".join(words(30) + (x := words(60)) + words(20) + x), " ".join(common[3]).replace(" ", "\n\t"), None, "", "one"] + [" ".join(words(120))] * 3 + [" ".join(words(50))] * 2
-    docs = frame(spark, [(k, t, "s") for k, t in enumerate(texts)])
-    made = {r["doc_id"]: r["n_shared_passages"] for r in substring_dedup.remove_repeats(docs).collect()}
-    assert [made[k] for k in range(len(texts))] == plain_passages(texts)
-    assert substring_dedup.shared_passages(none).count() == 0 and len(substring_dedup.remove_repeats(odd).collect()) == len(ODD)
-
-
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(8)
     vectors = []

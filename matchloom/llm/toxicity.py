@@ -1,13 +1,16 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine by a block-max inverted index.
 
-Terms are words and their first 4 to 6 letters, so that inflected and compound forms share terms. The vocabulary
-holds the terms, more frequent in toxic examples than in others, that mark those best (log-likelihood ratio), out of a sample of at most EXAMPLES labelled
-rows; document frequencies for the weights are counted over all documents. The examples stand in an inverted index
+Terms are words and their first 4 to 6 letters, so that inflected and compound forms share terms. Every word counts.
+Terms that are more frequent in toxic examples than in others by more than chance (log-likelihood ratio, from LEAST on)
+in a sample of at most EXAMPLES labelled rows have a coordinate of their own; all other words share one, so that a
+text's length and the weight of its telling terms against the rest enter its cosines. Weights are the square root of
+the count times the inverse document frequency, counted over all documents. The examples stand in an inverted index
 whose postings are cut into blocks of BLOCK examples, each with its largest weight. A query adds up the block maxima
 of its terms, visits the blocks of the highest bounds and then those that can still reach its NEAREST best examples,
-or, where these are many, whole posting lists; so the neighbours are exact. Their labels vote with the square of the cosine, a weak prior joins in, and
-Platt scaling fitted on left-one-out votes of the examples makes the vote a probability. The neighbours are the
-evidence. A text without any term of the vocabulary gets the share of toxic ones among such examples.
+or, where these are many, whole posting lists; so the neighbours are exact. Their labels vote with the square of the
+cosine, a weak prior joins in, and Platt scaling fitted on left-one-out votes of the examples makes the vote a
+probability. The neighbours are the evidence. Texts without a term of their own coordinate are all alike: they get the
+share of toxic ones among such examples.
 
 Defined results: a null or empty text is a text without terms; equal texts get equal scores; neighbours of equal
 cosine are taken by position in the index (order of the ids' MD5); a null doc_id is not held out; the highest of
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bound of the labelled sample, of the vocabulary, and what a term must reach (log-likelihood ratio).
-EXAMPLES, TERMS, LEAST = 20_000, 4096, 20.0
+#: Bound of the labelled sample, and what a term must reach to have its own coordinate (log-likelihood ratio: a chance
+#: of about one in 100,000).
+EXAMPLES, LEAST = 20_000, 20.0
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
 #: Blocks that are scored before the threshold is set.
 VISITED = 4
@@ -77,8 +81,8 @@ def term_statistics(examples: DataFrame) -> DataFrame:
     return examples.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def pick_terms(statistics: DataFrame, toxic: int, clean: int, terms: int = TERMS, least: float = LEAST) -> list[str]:
-    """The terms that mark toxic examples best, at most so many; ties by the term."""
+def pick_terms(statistics: DataFrame, toxic: int, clean: int, least: float = LEAST) -> list[str]:
+    """The terms that mark toxic examples, best ones first; ties by the term. Each stands in several examples."""
     if not toxic or not clean:
         return []
     n = float(toxic + clean)
@@ -89,12 +93,12 @@ def pick_terms(statistics: DataFrame, toxic: int, clean: int, terms: int = TERMS
 
     ratio = 2 * (part(F.col("toxic"), df * (toxic / n)) + part(F.col("clean"), df * (clean / n)) + part(toxic - F.col("toxic"), (n - df) * (toxic / n)) + part(clean - F.col("clean"), (n - df) * (clean / n)))
     over = F.col("toxic") * float(clean) > F.col("clean") * float(toxic)
-    best = statistics.where(over).withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(terms)
+    best = statistics.where(over).withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term")
     return [r["term"] for r in best.select("term").collect()]
 
 
 class Vectoriser:
-    """Term counts of a text over a vocabulary."""
+    """Term counts of a text over a vocabulary; words without a term in it count as one further term."""
 
     def __init__(self, vocabulary: list[str]):
         self.ids = {t: k for k, t in enumerate(vocabulary)}
@@ -107,7 +111,7 @@ class Vectoriser:
             if ids is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                ids = self.known[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
+                ids = self.known[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids) or (len(self.ids),)
             for k in ids:
                 found[k] = found.get(k, 0) + n
         return dict(sorted(found.items()))
@@ -187,21 +191,25 @@ class ToxicityModel:
         self.vocabulary, self.idf = vocabulary, idf
         labels = np.array([y for _, _, y in examples], float)
         self.prior = float(labels.mean()) if len(labels) else 0.0
-        seen = [bool(c) for _, c, _ in examples]
+        seen = [self.telling(c) for _, c, _ in examples]
         without = labels[~np.array(seen, bool)] if len(labels) else labels
         self.empty = float((without.sum() + self.prior) / (len(without) + 1)) if len(labels) else 0.0
         own = [x for x, s in zip(examples, seen, strict=True) if s]
         self.ids, self.labels = [x[0] for x in own], np.array([x[2] for x in own], float)
         vectors = [self.vector(x[1]) for x in own]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+        self.index = BlockMaxIndex(vectors, len(vocabulary) + 1)
         self.platt = (1.0, 0.0)
         if 0 < self.labels.sum() < len(self.labels):
             votes = np.array([self.vote(*self.index.nearest(*v, NEAREST, leave=k)) for k, v in enumerate(vectors)])
             self.platt = fit_platt(logit(votes), self.labels)
 
+    def telling(self, counts: dict[int, int]) -> bool:
+        """Whether a text has a term with its own coordinate."""
+        return any(k < len(self.vocabulary) for k in counts)
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts, int, len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[terms]
+        weights = np.sqrt(np.fromiter(counts.values(), float, len(counts))) * self.idf[terms]
         return terms, weights / np.sqrt((weights**2).sum())
 
     def vote(self, positions: np.ndarray, cosines: np.ndarray) -> float:
@@ -210,7 +218,7 @@ class ToxicityModel:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]]]:
         """Probability, and the neighbours (doc_id, cosine, label) that voted."""
-        if not counts or not self.index.n:
+        if not self.index.n or not self.telling(counts):
             return self.empty, []
         positions, cosines = self.index.nearest(*self.vector(counts), NEAREST)
         a, b = self.platt
@@ -270,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[T
     vectors = materialise(term_vectors(docs, vocabulary), "toxicity-vectors")
     n = vectors.count()
     seen = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    idf = np.array([np.log((n + 1) / (seen.get(k, 0) + 1)) + 1 for k in range(len(vocabulary))])
+    idf = np.array([np.log((n + 1) / (seen.get(k, 0) + 1)) + 1 for k in range(len(vocabulary) + 1)])
     own = term_vectors(chosen, vocabulary).join(F.broadcast(chosen.select("doc_id", "toxic").distinct()), "doc_id")
     found = own.distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "terms", "counts").collect()
     return ToxicityModel(vocabulary, idf, [(r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["toxic"]) for r in found]), vectors

@@ -47,6 +47,8 @@ SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 STEP = 50
 #: Bytes of pieces that are looked through at once, and bytes that are sorted at once, unless one gram has more.
 PART, SHARD = 2 << 20, 4 << 20
+#: Pieces whose results are held at once.
+FOUND = 1 << 16
 #: Bytes of a gram's pieces from which they are dealt to several tasks.
 HOT = 6 << 20
 
@@ -210,6 +212,8 @@ class Shard:
         self.raws, self.text, self.place, self.size = [], [], [], 0
         #: For each run as it occurs: number of the run, its first byte in the piece, and the piece's keys.
         self.members: list[tuple[int, int, int, int]] = []
+        #: For pieces by their keys the runs of repeated starts, as far as they are known without sorting.
+        self.found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
 
     def add(self, raws: list[bytes], text: np.ndarray, place: np.ndarray, keys: list[tuple[int, int]], powers: Powers) -> None:
         """Takes up pieces of whole grams, without the strings that no other place of them can equal.
@@ -228,20 +232,28 @@ class Shard:
             return
         head = np.flatnonzero(np.concatenate([[True], (np.diff(starts[can]) != 1) | (np.diff(owner[can]) != 0)]))
         a, b = starts[can[head]], starts[can[np.append(head[1:], len(can)) - 1]] + LENGTH
-        seen: dict[bytes, int] = {}
+        runs: dict[bytes, list] = {}  # id and place of the text, gram, and where it occurs
         for x, y, who in zip(a.tolist(), b.tolist(), owner[can[head]].tolist(), strict=True):
-            raw, own, at = t[x:y].tobytes(), int(text[who]), int(place[who] + x - first[who])
-            k = seen.get(raw)
-            if k is None:
-                k = seen[raw] = len(self.raws)
+            own, at = int(text[who]), int(place[who] + x - first[who])
+            run = runs.setdefault(t[x:y].tobytes(), [own, at, keys[who][0], []])
+            if (run[0], run[1]) != (own, at):
+                run[0] = 0
+            if own:
+                run[3].append((x - int(first[who]), *keys[who]))
+        # a run that has its like is repeated all over; where all runs of a gram have, there is nothing left to sort
+        open_grams = {gram for own, _, gram, _ in runs.values() if own}
+        for raw, (own, at, gram, places) in runs.items():
+            if gram in open_grams:
+                self.members += [(len(self.raws), *p) for p in places]
                 self.raws.append(raw)
                 self.text.append(own)
                 self.place.append(at)
                 self.size += len(raw)
-            elif (self.text[k], self.place[k]) != (own, at):
-                self.text[k] = 0
-            if own:
-                self.members.append((k, x - int(first[who]), *keys[who]))
+            else:
+                for shift, *key in places:
+                    froms, tos = self.found.setdefault(tuple(key), ([], []))
+                    froms.append(shift)
+                    tos.append(shift + len(raw) - LENGTH + 1)
 
     def sorted(self, folder: str | None) -> tuple[list[tuple[int, int]], list[list[int]], list[list[int]]]:
         """Keys of pieces, and of each the runs of repeated starts: first ones and ends (exclusive)."""
@@ -250,7 +262,7 @@ class Shard:
         first = np.cumsum(size) - size
         low, high = np.searchsorted(starts, first).tolist(), np.searchsorted(starts, first + size).tolist()
         spans = [intervals(starts[x:y] - f) for x, y, f in zip(low, high, first.tolist(), strict=True)]
-        found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        found = self.found
         for k, shift, *key in self.members:
             if spans[k][0]:
                 froms, tos = found.setdefault(tuple(key), ([], []))
@@ -299,7 +311,7 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
                 if size >= PART and grams[begin] != last:
                     take()
                     held, size = [], 0
-                    if shard.size >= SHARD:
+                    if shard.size >= SHARD or len(shard.found) >= FOUND:
                         yield told()
                         shard = Shard()
                 held.append(batch.slice(begin, end - begin))

@@ -12,6 +12,9 @@ one more than the least common prefix met in the scan since the symbol's last tu
 along and never found by comparing; equal names are those whose common prefix is a whole LMS substring, and what a
 recursion returns counted in names is turned into symbols by the names' lengths and the first induction's prefixes.
 
+Texts that repeat a word over and over give runs of one name, which would put themselves in one by one; so a string of
+names with many runs is sorted as a string of runs.
+
 A queue is cut into slots of neighbouring symbols, each in a file of its own once it holds more than HELD tuples; only
 the slot at work is in memory. Tuples are popped in batches: as many as come before everything that they put in
 themselves. Results and long arrays are files too, mapped into memory. So memory is bounded by HELD and WINDOW, apart
@@ -32,6 +35,8 @@ import numpy as np
 HELD = 1 << 23
 #: Tuples that are popped at once, and tuples of a slot, unless one symbol has more.
 WINDOW = 1 << 16
+#: Names are sorted by their runs where these are fewer than this share of them; bytes are not.
+RUNS, BYTES = 0.98, 256
 #: Tuples that are looked at when the batches before were short.
 LEAST = 256
 
@@ -262,7 +267,47 @@ def induce(text: Text, lms: np.ndarray, prefixes: np.ndarray, cap: int) -> tuple
     return low, Induction(text, True, cap).run(low[::-1, 0], turned)
 
 
+def _by_runs(t: np.ndarray, ends: np.ndarray, cap: int, files: Files) -> tuple[np.ndarray, np.ndarray]:
+    """_sorted() by way of the string of runs: a run is a symbol of its own, by its symbol, what follows, and its length.
+
+    Of one symbol, runs that something less follows come first, the shorter the earlier; then the others, the longer
+    the earlier. A suffix that begins within a run stands by the rest of the run and the place of the next run's suffix.
+    """
+    n, m = len(t), len(ends)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    size, symbol = ends - starts + 1, t[starts].astype(np.int64)
+    up = np.append(symbol[1:] > symbol[:-1], False)
+    by = np.lexsort((np.where(up, -size, size), up, symbol))
+    other = np.concatenate([[False], (np.diff(symbol[by]) != 0) | (np.diff(up[by]) != 0) | (np.diff(size[by]) != 0)])
+    names = files.zeros(m)
+    names[by] = np.cumsum(other)
+    order, common = _sorted(names, int(names.max()) + 1, cap, files)
+    # from runs to symbols; of the first runs that differ the shorter one is shared, if they are of one symbol
+    a, b, h = order[:-1].astype(np.int64), order[1:].astype(np.int64), common[1:].astype(np.int64)
+    x, y = np.minimum(a + h, m - 1), np.minimum(b + h, m - 1)
+    inside = (a + h < m) & (b + h < m) & (h < cap)
+    first = np.append(starts, n)
+    shared = np.concatenate([[0], np.minimum(first[a + h] - starts[a] + np.where(inside & (symbol[x] == symbol[y]), np.minimum(size[x], size[y]), 0), cap)])
+    rank = np.full(m + 1, -1, np.int64)
+    rank[order] = np.arange(m)
+    run = np.repeat(np.arange(m), size)
+    rest = ends[run] + 1 - np.arange(n)
+    after = rank[run + 1]
+    out = np.lexsort((after, np.where(up[run], -rest, rest), up[run], symbol[run]))
+    u, v = out[:-1], out[1:]
+    prefix = np.where(symbol[run[u]] == symbol[run[v]], np.minimum(rest[u], rest[v]), 0)
+    same = np.flatnonzero((prefix > 0) & (rest[u] == rest[v]) & (up[run[u]] == up[run[v]]) & (after[u] >= 0))
+    prefix[same] += least_between(shared, after[u[same]] + 1, after[v[same]])
+    found, prefixes = files.zeros(n), files.zeros(n)
+    found[:], prefixes[1:] = out, np.minimum(prefix, cap)
+    return found, prefixes
+
+
 def _sorted(t: np.ndarray, k: int, cap: int, files: Files) -> tuple[np.ndarray, np.ndarray]:
+    if k > BYTES:
+        ends = np.append(np.flatnonzero(t[:-1] != t[1:]), len(t) - 1)
+        if len(ends) < len(t) * RUNS:
+            return _by_runs(t, ends, cap, files)
     text = Text(t, k, files)
     lms = np.flatnonzero(text.is_s[1:] & ~text.is_s[:-1]) + 1
     prefixes = np.zeros(len(lms), np.int32)

@@ -279,6 +279,8 @@ def test_suffixes_and_common_prefixes(monkeypatch, tmp_path):
         letters = rnd.choice([b"ab", b"abc", b"aab", bytes(range(256))])
         text = bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) * rnd.randint(1, 3) + b"a" * rnd.choice([0, 0, rnd.randint(1, 20)])
         monkeypatch.setattr(suffix_sort, "WINDOW", rnd.choice([1, 2, 7, 1 << 16]))
+        monkeypatch.setattr(suffix_sort, "RUNS", rnd.choice([0, 1]))
+        monkeypatch.setattr(suffix_sort, "BYTES", rnd.choice([0, 256]))  # by runs from the first level on
         cap = rnd.choice([1, 3, 10, 400])
         order, shared = suffix_sort.sort_suffixes(np.frombuffer(text, np.uint8), cap, str(tmp_path), rnd.choice([1, 5, 1 << 20]))
         want = sorted(range(len(text)), key=lambda i: text[i:])

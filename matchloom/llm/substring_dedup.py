@@ -46,9 +46,9 @@ SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 #: Neighbouring starts whose strings are looked at together in hot groups.
 STEP = 50
 #: Bytes of pieces that are looked through at once, and bytes that are sorted at once, unless one gram has more.
-PART, SHARD = 2 << 20, 4 << 20
+PART, SHARD = 1 << 20, 3 << 20
 #: Pieces whose results are held at once.
-FOUND = 1 << 16
+FOUND = 1 << 15
 #: Bytes of a gram's pieces from which they are dealt to several tasks.
 HOT = 6 << 20
 

@@ -1,4 +1,8 @@
-"""Small gradient-boosted trees on numpy: logistic loss, histogram splits, depth-limited, with Platt calibration."""
+"""Small gradient-boosted trees on numpy: logistic loss, histogram splits, depth-limited, with Platt calibration.
+
+Defined results: features are numbers without NaN; equal rows get equal scores; of equal gains the first feature and
+the lowest split win; labels of one kind only give a constant near that label's rate; no rows to score give none.
+"""
 
 from __future__ import annotations
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where it is unset and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,8 +49,26 @@ def _drop_written() -> None:
             pass
 
 
+def step(build: Callable[[], DataFrame], name: str, before: DataFrame | None = None) -> DataFrame:
+    """What build gives, as a written table; deletes what was written on the way, and before, the step before this one."""
+    since = len(_written)
+    out = materialise(build(), name)
+    keep = _written.pop()
+    own = {f.rpartition("/")[0] for f in before.inputFiles()} if before is not None else set()
+    for k in range(len(_written) - 1, -1, -1):
+        spark, path = _written[k]
+        if k >= since or any(f.endswith(path.rpartition("/")[2]) for f in own):
+            drop_path(spark, path)
+            del _written[k]
+    _written.append(keep)
+    return out
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet below the shared folder and read it again; files go when Python ends."""
+    """Cut the lineage: write df as Parquet below the shared folder and read it again.
+
+    Files go when they are dropped (step) or else when Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -57,3 +79,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column (names don't differ by case) is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name

@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large and small stars; nothing is collected."""
+"""Connected components of an edge table by alternating large and small stars; nothing is collected.
+
+Defined results: repeated edges count once; an edge from a node to itself, or with a null end, joins nothing; an empty
+table gives an empty result; ties can't occur, as the least node is one.
+"""
 
 from __future__ import annotations
 

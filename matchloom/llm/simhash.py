@@ -9,7 +9,9 @@ itself. If x and y differ in at most one bit of the half, y is within 2 of x's h
 the two is at home. Every pair compared is checked on all 64 bits.
 
 Copies collapse to one row before that (class representatives), an anchor's rows are compared in sorted runs, and of
-the links of an anchor only a spanning forest is passed on, so the volume is linear whatever the groups' sizes.
+the links of an anchor only a spanning forest is passed on, so the volume is linear whatever the groups' sizes. An
+anchor that is home to more than RUN fingerprints is split over many tasks: fingerprints that differ in 3 bits at most
+agree in one of the four bytes of the other half, so each goes to four parts, one for each byte's value.
 
 Defined results: a null or empty text (and one of white space only) has fingerprint 0 and is linked like any other;
 equal texts share a component; a null doc_id counts after every other id; repeated rows give equal rows; other columns
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise
+from .common import NO_ID, fresh, materialise
 from .components import connected_components
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: A larger run is compared only where one of the four bytes of the other half agrees.
 RUN = 2048
+#: Hot anchors that are sent to all executors, eight bytes each; more are joined by shuffling.
+BROADCAST = 1 << 16
 #: Links that are held before they are merged into the forest.
 HELD = 1 << 20
 
@@ -139,7 +144,7 @@ def link_block(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndar
     compare_runs(run[small], home[small], prints[small], bits, forest, rows[small])
     if large.any():
         r, h, p, w = run[large], home[large], prints[large], rows[large]
-        other = np.where(r >> 31 & 1, p & np.uint64(0xFFFFFFFF), p >> np.uint64(32)).astype(np.int64)
+        other = np.where(r >> 42 & 1, p & np.uint64(0xFFFFFFFF), p >> np.uint64(32)).astype(np.int64)
         for byte in range(4):
             code = other >> (8 * byte) & 255
             order = np.lexsort((~h, code, r))
@@ -150,7 +155,7 @@ def link_block(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndar
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, print) of a partition, sorted by key; an anchor that goes on in the next batch waits for it."""
+    """Rows (key, part, print) of a partition, sorted by anchor, part and key; what goes on in the next batch waits."""
 
     def told(k: list[np.ndarray], p: list[np.ndarray]) -> pa.RecordBatch:
         u, v = link_block(np.concatenate(k), np.concatenate(p).view(np.uint64), BITS)
@@ -162,7 +167,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, prints = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in (0, 1))
+        keys, parts, prints = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in range(3))
+        # anchors take 33 bits, parts 11
+        keys = (keys >> 1) << 12 | parts.astype(np.int64) << 1 | keys & 1
         cut = int(np.searchsorted(keys >> 1, keys[-1] >> 1))
         if cut:
             yield told([*k, keys[:cut]], [*p, prints[:cut]])
@@ -194,8 +201,23 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
                 own = np.ascontiguousarray(batch.column(0).slice(first, 1 << 13).to_numpy())
                 yield pa.RecordBatch.from_arrays([*map(pa.array, anchors(own))], names=["key", "print"])
 
-    spread = prints.select("fingerprint").mapInArrow(replicate, "key long, print long")
-    dealt = spread.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in replicate(batches):
+            yield batch.filter(pa.compute.equal(pa.compute.bit_wise_and(batch.column("key"), 1), 0)).select(["key"])
+
+    spread = prints.select("fingerprint").mapInArrow(replicate, "key long, print long").withColumn("anchor", F.shiftright("key", 1))
+    hot = prints.select("fingerprint").mapInArrow(homes, "key long").groupBy(F.shiftright("key", 1).alias("anchor")).count().where(F.col("count") > RUN)
+    hot = materialise(hot.select("anchor"), "hot-anchors")
+    if n := hot.count():
+        # part 0 is the whole anchor, else the byte's number and value of the half that the anchor doesn't cover
+        other = F.when(F.shiftright("key", 32).bitwiseAND(1) == 1, F.col("print")).otherwise(F.shiftright("print", 32))
+        bytes_ = F.array(*(1 + 256 * k + F.shiftright(other, 8 * k).bitwiseAND(255) for k in range(4)))
+        hot = (F.broadcast(hot) if n <= BROADCAST else hot).withColumn("hot", F.lit(True))
+        parts = F.when(F.col("hot"), bytes_).otherwise(F.array(F.lit(0).cast("long")))
+        spread = spread.join(hot, "anchor", "left").withColumn("part", F.explode(parts))
+    else:
+        spread = spread.withColumn("part", F.lit(0).cast("long"))
+    dealt = spread.select("key", "part", "print", "anchor").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "key").drop("anchor")
     return dealt.mapInArrow(_links, "u long, v long").distinct()
 
 
@@ -212,11 +234,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that have their component's least doc_id; of repeated ids one row stays."""
-    found = materialise(near_duplicates(docs), "near-duplicates").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.coalesce("component_id", F.lit(NO_ID)).alias("__component"))
-    kept = found.where("__id = __component").groupBy("__id").agg((F.count(F.lit(1)) > 1).alias("__repeated"))
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(kept, "__id")
+    """The rows of docs, with all columns, that have their component's least doc_id; of repeated ids one row stays.
+
+    Of rows with one id the one with the shortest text stays, a null text last; of equal texts any.
+    """
+    ident, repeated, row = (fresh(c, docs.columns) for c in ("id", "repeated", "row"))
+    found = materialise(near_duplicates(docs), "near-duplicates").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ident), F.coalesce("component_id", F.lit(NO_ID)).alias("component"))
+    kept = found.where(F.col(ident) == F.col("component")).groupBy(ident).agg((F.count(F.lit(1)) > 1).alias(repeated))
+    rows = docs.withColumn(ident, F.coalesce("doc_id", F.lit(NO_ID))).join(kept, ident)
     # Only ids that occur more than once are sorted.
-    first = Window.partitionBy("__id").orderBy(F.col("text").isNull(), F.length("text"), F.xxhash64("text"))
-    again = rows.where("__repeated").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return rows.where("not __repeated").unionByName(again).select(*docs.columns)
+    first = Window.partitionBy(ident).orderBy(F.col("text").isNull(), F.length("text"), F.xxhash64("text"))
+    again = rows.where(F.col(repeated)).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
+    return rows.where(~F.col(repeated)).unionByName(again).select(*docs.columns)

@@ -4,8 +4,8 @@ A huge text is encoded in overlapping chunks. A byte-level BPE splits a text int
 scans left to right and has no memory beyond its position; merges never cross pieces. So if the scan of the left chunk
 and that of the right chunk both have a piece boundary at position p, all pieces of the whole text before p are those
 of the left chunk and all after it those of the right chunk. p must lie so far from the left chunk's end that neither
-a special string nor a look-ahead can reach beyond it. Where no common boundary exists the overlap is doubled, in the
-end up to one piece of text that is encoded whole.
+a special string nor a look-ahead can reach beyond it. Where no common boundary exists the overlap is doubled, and
+from where it reaches the last proven boundary the chunk too, in the end up to one piece that is encoded whole.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows and ties give
 equal rows; other columns are ignored; an empty table gives an empty result with the same columns.
@@ -61,6 +61,8 @@ def spliced_count(model, text: str, chunk: int, overlap: int) -> int:
         right, width = min(n, end + chunk), overlap
         while True:
             left = max(proven, end - width)
+            if left == proven:  # nothing to splice at: chunks from here on double, so that all of them cost as much as the last
+                right = min(n, max(right, left + 2 * (end - left)))
             next_starts, next_count = _boundaries(model, text[left:right], left)
             # A chunk that begins where a piece is proven to begin needs no alignment.
             both = [proven] if left == proven else [p for p in next_starts if left < p <= end - GUARD and p in starts]

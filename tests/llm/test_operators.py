@@ -80,6 +80,16 @@ def test_spliced_counts_are_those_of_whole_texts():
         assert token_counts.spliced_count(model, text, rnd.choice([70, 100, 200]), rnd.choice([1, 20, 70])) == counts([text])[0]
 
 
+def test_a_long_text_without_boundaries_is_not_encoded_over_and_over(monkeypatch):
+    model, counts = token_counts.load_tokenizer(PATH)
+    seen, plain = [], token_counts._boundaries
+    monkeypatch.setattr(token_counts, "_boundaries", lambda m, text, base: seen.append(len(text)) or plain(m, text, base))
+    for text in (" " * 300_000, "z" * 200_000, "word " * 60_000):
+        seen.clear()
+        assert token_counts.spliced_count(model, text, 4096, 256) == counts([text])[0]
+        assert sum(seen) < 6 * len(text)
+
+
 def test_token_counts(odd, none):
     _, counts = token_counts.load_tokenizer(PATH)
     rows = token_counts.count_tokens(odd, PATH, chunk=300, overlap=50).collect()
@@ -144,6 +154,7 @@ def test_anchors_cover_all_links():
         prints.append(x)
     prints = np.unique(np.concatenate(prints))
     keys, owners = simhash.anchors(prints)
+    keys = keys >> 1 << 12 | keys & 1
     order = np.argsort(keys, kind="stable")
     place = {x: k for k, x in enumerate(prints.tolist())}
     for run in (simhash.RUN, 1):  # also with every run cut by bytes
@@ -158,6 +169,23 @@ def test_anchors_cover_all_links():
         assert (made.merge() == want.merge()).all()
 
 
+def test_hot_anchors_are_split_without_losing_links(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 2**63, 6, dtype=np.int64)
+    prints = np.unique(np.concatenate([b ^ sum(np.int64(1) << rng.integers(0, 63, 150) for _ in range(rng.integers(1, 5))) for b in base] + [base[0] ^ (np.int64(1) << np.arange(32, 62))]))
+    near = np.bitwise_count(prints.view(np.uint64)[:, None] ^ prints.view(np.uint64)[None, :]) <= 3
+    want = simhash.Forest(len(prints))
+    want.add(*np.nonzero(near))
+    place = {x: k for k, x in enumerate(prints.tolist())}
+    for run, most in ((3, 1 << 16), (3, 0), (2048, 0)):  # split by broadcast, split by a join, not split
+        monkeypatch.setattr(simhash, "RUN", run)
+        monkeypatch.setattr(simhash, "BROADCAST", most)
+        links = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in prints.tolist()], "fingerprint long")).collect()
+        made = simhash.Forest(len(prints))
+        made.add(*(np.array([place[r[c]] for r in links]) for c in "uv"))
+        assert (made.merge() == want.merge()).all()
+
+
 def test_simhash_components(spark, odd, none):
     import xxhash
 
@@ -173,6 +201,8 @@ def test_simhash_components(spark, odd, none):
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+    clash = odd.withColumnsRenamed({"lang": "ID", "source": "repeated", "size": "row", "key": "component"})
+    assert simhash.deduplicate(clash).columns == clash.columns and simhash.deduplicate(clash).count() == 5
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 

@@ -43,12 +43,14 @@ TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."),
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"),
     "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL version 3.", "Released under the GPLv3 license."),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL version 2.", "Released under the GPLv2 license."),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL version 2.", "Released under the GPLv2 license.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the LGPL version 3.", "Released under the terms of the GNU Lesser General Public License, version 2.1."),
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL version 3 license.", "This program is licensed under the AGPLv3."),
     "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD license.", "Use of this source code is governed by a BSD-style license."),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Released under the MPL 2.0 license."),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under CC-BY 3.0.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Released under the ISC license."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, Version 2.0.", "SPDX-License-Identifier: EPL-2.0", "Released under the EPL 1.0 license."),
+    "cc-by": ("Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution License.", "Text is available under a Creative Commons Attribution license.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under CC-BY 3.0.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Released under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
@@ -179,7 +181,10 @@ class LicenseClassifier:
         return best
 
     def wrapped_notices(self, words: list[str]) -> list[tuple[int, int, str, float, float]]:
-        """First word, end, family, probability and similarity of notices in joined lines; of those that overlap the best."""
+        """First word, end, family, probability and similarity of notices in joined lines; of those that overlap the best.
+
+        A notice reaches as far as pieces of its family that overlap it do.
+        """
         if not self.coverable(set(words)):
             return []
         step, found = PIECES[0] // 2, []
@@ -193,10 +198,22 @@ class LicenseClassifier:
         for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
             if all(x[1] <= y[0] or y[1] <= x[0] for y in out) and x[2] not in {y[2] for y in out}:
                 out.append(x)
-        return out
+        return [self._widened(x, out, found) for x in out]
+
+    @staticmethod
+    def _widened(x: tuple, out: list[tuple], found: list[tuple]) -> tuple:
+        """A notice with the pieces of its family that overlap it, up to the notices of other families."""
+        low = max((y[1] for y in out if y[1] <= x[0]), default=0)
+        high = min((y[0] for y in out if y[0] >= x[1]), default=1 << 62)
+        near = [y for y in found if y[2] == x[2] and y[0] < x[1] and x[0] < y[1]]
+        return max(low, min(y[0] for y in near)), min(high, max(y[1] for y in near)), *x[2:]
 
     def notices(self, text: str | None) -> list[tuple[int, int, int, str, float, float]]:
-        """First line, start, end, family, probability and similarity of the confirmed notices of a text."""
+        """First line, start, end, family, probability and similarity of the notices of a text.
+
+        Lines that could be notices by their words, but are told or confirmed by none, are of the family "unknown",
+        with the probability of what they were taken for.
+        """
         if not text:
             return []
         lines = text.split("\n")
@@ -205,6 +222,7 @@ class LicenseClassifier:
             return []
         starts = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
         out, run = [], []
+        doubtful: list[int] = []
 
         def end_run() -> None:
             if len(run) > 1:
@@ -219,9 +237,16 @@ class LicenseClassifier:
                 out.append((k, starts[k], starts[k] + len(line), *found))
             elif line.strip():
                 run.append(k)
+                if self.coverable(set(split[k])):
+                    doubtful.append(k)
             else:
                 end_run()
         end_run()
+        covered = [(a, b) for _, a, b, *_ in out]
+        for k in doubtful:
+            if not any(a < starts[k] + len(lines[k]) and starts[k] < b for a, b in covered):
+                family, p = self.classify(split[k][:WINDOW])
+                out.append((k, starts[k], starts[k] + len(lines[k]), "unknown", p, self.confirm(family, split[k])))
         return sorted(out)
 
 
@@ -258,7 +283,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """A line a document: number of notices, families in order of the alphabet, and the notices with their spans."""
-    families = F.array_join(F.array_sort(F.array_distinct("notices.family")), ",")
-    spans = F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["family"], n["start"], n["end"])), ",")
-    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), families.alias("families"), spans.alias("notices"))
+    """A line a document: number of notices, families in order of the alphabet, notices with their spans and their
+    probabilities, and the number of paragraphs of unknown family."""
+    known, unknown = F.filter("notices", lambda n: n["family"] != "unknown"), F.filter("notices", lambda n: n["family"] == "unknown")
+    families = F.array_join(F.array_sort(F.array_distinct(known["family"])), ",")
+    spans = F.array_join(F.transform(known, lambda n: F.concat_ws(":", n["family"], n["start"], n["end"])), ",")
+    told = F.array_join(F.transform(known, lambda n: F.format_string("%.4f", n["probability"])), ",")
+    return found.select(
+        "doc_id", F.size(known).cast("long").alias("n_notices"), families.alias("families"), spans.alias("notices"), told.alias("probabilities"), F.size(unknown).cast("long").alias("n_unknown")
+    )

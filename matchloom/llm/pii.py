@@ -61,6 +61,9 @@ CUES = {
     "card": re.compile(r"card|visa|master|amex|credit|pay|kreditkarte|carte|tarjeta", re.I),
     "phone": re.compile(r"tel|phone|call|fax|mobil|dial|whatsapp|handy", re.I),
 }
+# Usual endings of host names.
+ENDINGS = re.compile(r"(?:^|[\W_]|dot\s)(?:com|org|net|edu|gov|info|biz|io|eu|de|fr|es|it|nl|ch|at|be|pl|uk|us|ca|au|in|jp|cn|br|ru)$", re.I)
+BRACKETS = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
 AGAINST = re.compile(r"version|\bv\.?$|order|invoice|isbn|issn|serial|part|price|usd|eur|[$€£#§]|page|section|date|chapter|id\b|ref", re.I)
 
 
@@ -122,6 +125,7 @@ def span_features(text: str, kind: str, start: int, end: int) -> list[float]:
         len(s), len(digits), len(set(digits)), len(groups), max(groups, default=0), min(groups, default=0), groups[-1] if groups else 0,
         float(bool(digits) and luhn(digits)), sum(c.isalpha() for c in s) / n, s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count(":"),
         float("(" in s), float("@" in s), float(s[:1] == "0"), float(digits[:1] in ("3", "4", "5", "6")), float(bool(re.search(r"\.[A-Za-z]{2,6}$|dot\W+[A-Za-z]{2,6}$", s))),
+        float(bool(ENDINGS.search(s))), float(bool(BRACKETS.search(s))), float(bool(re.search(r"\.\s", s))), float(s[:2] == "00"),
         float(bool(CUES[kind].search(left))), float(bool(AGAINST.search(left))), float(left[-1:].isalnum()), float(right[:1].isalnum()),
         float(right[:1] in (".", "-", ":", "/")), float(bool(re.search("[0-9]", left[-3:]))), float(bool(re.search("[0-9]", right[:3]))),
     ]
@@ -141,17 +145,19 @@ def drawn_examples(n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, list
         cuts = (4, 10) if length == 15 else (4, 8, 12)
         return dot.join(full[a:b] for a, b in zip((0, *cuts), (*cuts, None), strict=True))
 
+    cased = lambda x: x.upper() if rng.random() < 0.2 else x
     right = {
         "email": lambda: pick(
             lambda: f"{word()}.{word()}{pick(' at ', ' (at) ', '[at]', '(at)')}{word()}{pick(' dot ', '[dot]', '(dot)', '.')}{pick('com', 'org', 'net', 'de')}",
+            lambda: cased(f"{word()}{pick(' at ', ' (at) ', '[at]', '(at)', ' [at] ')}{word()}{pick(' dot ', '[dot]', '(dot)', ' (dot) ')}{pick('com', 'org', 'net', 'de', 'info', 'fr', 'es', 'io')}"),
             lambda: f"{word()}é{num(2)}@{word()}.{pick('com', 'org', 'fr', 'example.com')}",
         )(),
         "ip": lambda: pick(lambda: ":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)), lambda: f"fe80::{rng.integers(4096):x}:{rng.integers(1, 65536):x}", lambda: f"2001:db8::{rng.integers(1, 65536):x}")(),
         "card": lambda: pick(lambda: card(15, pick("", " ", "-")), lambda: card(16, "."))(),
-        "phone": lambda: pick(lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0{num(3)} {num(3)} {num(4)}", lambda: f"00{rng.integers(1, 99)} {num(3)} {num(3)} {num(4)}", lambda: f"0{num(2)}/{num(3)} {num(4)}")(),
+        "phone": lambda: pick(lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0{num(3)} {num(3)} {num(4)}", lambda: f"00{rng.integers(1, 99)} {num(3)} {num(3)} {num(4)}", lambda: f"00{rng.integers(1, 999)}{pick(' ', '-')}{num(rng.integers(2, 4))} {num(rng.integers(3, 5))} {num(rng.integers(3, 5))}", lambda: f"0{num(2)}/{num(3)} {num(4)}")(),
     }
     wrong = {
-        "email": lambda: pick(lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()}.{word()}", lambda: f"{word()} at {word()}. {word().capitalize()}")(),
+        "email": lambda: pick(lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()}.{word()}", lambda: f"{word()} at {word()}. {word().capitalize()}", lambda: f"{word()} at {word()}.{pick(' ', chr(10))}{pick('In', 'It', 'At', 'De', 'Es', 'Be', 'Us', 'Fr')}")(),
         "ip": lambda: pick(lambda: f"{rng.integers(24):02}:{rng.integers(60):02}::{rng.integers(60):02}", lambda: f"a::{word()}", lambda: f"1::{rng.integers(10)}")(),
         "card": lambda: pick(lambda: num(16), lambda: num(15), lambda: f"{num(4)}.{num(4)}.{num(4)}", lambda: f"{num(4)} {num(4)} {num(4)}", lambda: f"{1900 + rng.integers(130)}-{num(2)}-{num(2)} {num(2)}", lambda: num(14))(),
         "phone": lambda: pick(lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(3)}-{num(2)}-{num(5)}", lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(2)}-{num(2)}", lambda: f"{num(3)}-{num(4)}-{num(4)}-{num(3)}")(),

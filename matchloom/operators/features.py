@@ -72,31 +72,29 @@ def set_features() -> dict[str, Column]:
     }
 
 
-def kernel_features() -> dict[str, Column]:
-    """Features by string kernels; Arrow functions."""
+#: Kernel features: batch kernel, and the places of its arguments among the texts that kernel_struct() sends.
+KERNELS = {
+    "nm_ratio": (K.ratios, 0, 1), "nm_tsort": (K.token_sort_ratios, 0, 1), "nm_tset": (K.token_set_ratios, 0, 1), "nm_partial": (K.partial_ratios, 2, 3),
+    "nm_jw": (K.jaro_winklers, 4, 5), "nm_core_ratio": (K.ratios, 4, 5), "nm_skel_ratio": (K.ratios, 6, 7), "nm_wr": (K.weighted_ratios, 0, 1),
+    "ad_tset": (K.token_set_ratios, 8, 9), "ad_tsort": (K.token_sort_ratios, 8, 9), "ad_ratio": (K.ratios, 8, 9), "ad_partial": (K.partial_ratios, 8, 9),
+}
+MORE_KERNELS = {
+    "me_ab": (K.monge_elkans, 0, 1), "me_ba": (K.monge_elkans, 1, 0), "skel_me": (K.monge_elkans, 2, 3), "ad_me_ab": (K.monge_elkans, 4, 5), "ad_me_ba": (K.monge_elkans, 5, 4),
+    "ad_jw": (K.jaro_winklers, 6, 7), "ad_alpha_ratio": (K.ratios, 8, 9),
+}
+_kernels, _more_kernels = K.struct_udf(KERNELS), K.struct_udf(MORE_KERNELS)
+
+
+def kernel_struct() -> Column:
+    """All features by string kernels as one struct: one Arrow function, so texts go to Python once."""
     sq, core, addr = _ab("name_sq"), _ab("name_core"), _ab("addr_norm")
     missing = F.col("addr_missing_a") | F.col("addr_missing_b")
-    skel = tuple(F.array_join(x, "") for x in _ab("name_skel"))
-    known = tuple(F.when(~missing, x) for x in addr)
-    return {
-        "nm_ratio": K.ratio_udf(*sq),
-        "nm_tsort": K.token_sort_udf(*sq),
-        "nm_tset": K.token_set_udf(*sq),
-        "nm_partial": K.partial_udf(*(F.when(x != "", x) for x in core)),
-        "nm_jw": K.jaro_winkler_udf(*core),
-        "nm_core_ratio": K.ratio_udf(*core),
-        "nm_skel_ratio": K.ratio_udf(*skel),
-        "nm_wr": K.weighted_udf(*sq),
-        "ad_tset": K.token_set_udf(*known),
-        "ad_tsort": K.token_sort_udf(*known),
-        "ad_ratio": K.ratio_udf(*known),
-        "ad_partial": K.partial_udf(*known),
-    }
+    return _kernels(*sq, *(F.when(x != "", x) for x in core), *core, *(F.array_join(x, "") for x in _ab("name_skel")), *(F.when(~missing, x) for x in addr))
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
     """The 37 similarity features of pairs with attached records."""
-    return pairs.select("country", "s1", "r", *(c.alias(n) for n, c in (set_features() | kernel_features()).items()))
+    return pairs.withColumn("_k", kernel_struct()).select("country", "s1", "r", *(c.alias(n) for n, c in set_features().items()), *(F.col(f"_k.{n}") for n in KERNELS))
 
 
 def extra_features(pairs: DataFrame) -> DataFrame:
@@ -114,14 +112,16 @@ def extra_features(pairs: DataFrame) -> DataFrame:
 
     alike = crossed(lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
     ends = crossed(lambda x, y: (F.length(x) >= 3) & (F.length(y) >= 3) & (F.endswith(x, y) | F.endswith(y, x)))
-    me = {f"{p}_{d}": K.monge_elkan_udf(*(x if d == "ab" else x[::-1])) for p, x in (("me", toks), ("ad_me", alpha)) for d in ("ab", "ba")}
+    alphas = (F.when((F.size(alpha[0]) > 0) & (F.size(alpha[1]) > 0), F.array_join(F.array_sort(x), " ")) for x in alpha)
+    pairs = pairs.withColumn("_k", _more_kernels(*toks, *full, *alpha, *_ab("addr_norm"), *alphas))
+    me = {n: F.col(f"_k.{n}") for n in MORE_KERNELS}
     columns = {
         "tri_jac": jaccard(*(grams(x, 3) for x in core)),
         "bi_jac": jaccard(*(grams(x, 2) for x in core)),
         "me_ab": me["me_ab"],
         "me_ba": me["me_ba"],
         "me_min": F.least(me["me_ab"], me["me_ba"]),
-        "skel_me": K.monge_elkan_udf(*full),
+        "skel_me": me["skel_me"],
         "pre3_cover": F.when(sides, F.size(F.filter(toks[0], lambda t: F.array_contains(starts, F.substring(t, 1, 3)))) / F.size(toks[0])),
         "len_diff": F.abs(F.length(core[0]) - F.length(core[1])).cast("double"),
         "skel_first_eq": _flag(F.coalesce(_first(skel[0]) == _first(skel[1]), F.lit(False))),
@@ -131,7 +131,7 @@ def extra_features(pairs: DataFrame) -> DataFrame:
         "ad_num_sim": known(F.when(numbers, F.array_max(alike))),
         "ad_num_suffix": known(F.when(numbers, F.exists(ends, lambda x: x).cast("double"))),
         "ad_common": known(F.size(F.array_intersect(*words)) / F.greatest(F.lit(1), F.least(*(F.size(F.array_distinct(x)) for x in words)))),
-        "ad_jw": known(K.jaro_winkler_udf(*_ab("addr_norm"))),
-        "ad_alpha_ratio": known(K.ratio_udf(*(F.when((F.size(alpha[0]) > 0) & (F.size(alpha[1]) > 0), F.array_join(F.array_sort(x), " ")) for x in alpha))),
+        "ad_jw": known(me["ad_jw"]),
+        "ad_alpha_ratio": known(me["ad_alpha_ratio"]),
     }
     return pairs.select("country", "s1", "r", *(c.alias(n) for n, c in columns.items()))

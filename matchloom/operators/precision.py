@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from ..functions.kernels import jaro_winkler, levenshtein, osa_distance, pair_udf, ratio_udf, token_set_udf
+from ..functions.kernels import edit_distances, jaro_winklers, pair_udf, ratio_udf, token_set_udf
 from ..functions.text import jaccard, tokens
 
 # Words that carry no identity in a name.
@@ -47,25 +48,33 @@ def name_frequency(clean: DataFrame) -> DataFrame:
     return clean.where("ckey <> ''").groupBy("country", "ckey").agg(F.count(F.lit(1)).alias("n")).withColumn("log_n", F.log1p("n"))
 
 
-def close(a: str, b: str) -> bool:
-    """Words so alike that one may be a spelling of the other."""
-    return jaro_winkler(a, b) >= 0.85 or levenshtein(a, b) <= (1 if len(a) <= 4 else 2)
+def close_words(pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The pairs of words so alike that one may be a spelling of the other."""
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    near = (jaro_winklers(a, b) >= 0.85) | (edit_distances(a, b, False) <= np.array([1 if len(x) <= 4 else 2 for x in a]))
+    return {pairs[k] for k in np.flatnonzero(near).tolist()}
 
 
-def novel_count(known: list[str], words: list[str], vocabulary: frozenset[str] = frozenset()) -> int:
-    """Words from 3 letters on, not numbers, that are close to no known word and no spelling of a noise word."""
+def noise_words(words: list[str], vocabulary: frozenset[str]) -> set[str]:
+    """The words that are in the vocabulary or a spelling of a word in it."""
+    pairs = [(w, v) for w in words for v in vocabulary if abs(len(v) - len(w)) <= 2]
+    far = edit_distances([w for w, _ in pairs], [v for _, v in pairs], True)
+    return {w for w in words if w in vocabulary} | {w for (w, _), d in zip(pairs, far.tolist(), strict=True) if d <= (2 if len(w) >= 8 else 1)}
 
-    def noise(word: str) -> bool:
-        return word in vocabulary or any(abs(len(v) - len(word)) <= 2 and osa_distance(word, v) <= (2 if len(word) >= 8 else 1) for v in vocabulary)
 
-    return sum(len(w) >= 3 and not w.isdigit() and not any(close(w, k) for k in known) and not noise(w) for w in words)
+def novel_counts(known: list[tuple[str, ...]], words: list[tuple[str, ...]], vocabulary: frozenset[str] = frozenset()) -> list[int]:
+    """For each pair of lists the words from 3 letters on, not numbers, close to no known word and no spelling of noise."""
+    own = [[w for w in ws if len(w) >= 3 and not w.isdigit()] for ws in words]
+    near = close_words(list({(w, k) for ws, ks in zip(own, known, strict=True) for w in ws for k in ks}))
+    noise = noise_words(list({w for ws in own for w in ws}), vocabulary) if vocabulary else set()
+    return [sum(w not in noise and not any((w, k) in near for k in ks) for w in ws) for ws, ks in zip(own, known, strict=True)]
 
 
 def novelty(pairs: DataFrame, clean1: DataFrame, clean2: DataFrame, vocabulary: frozenset[str] = frozenset()) -> DataFrame:
     """s1, r, nov_r (the record's new words), miss_r (the entity's words that the record lacks)."""
     one, two = clean1.select(F.col("id").alias("s1"), F.col("ctoks").alias("ctoks1")), clean2.select(F.col("id").alias("r"), F.col("ctoks").alias("ctoks2"))
     joined = pairs.select("s1", "r").join(one, "s1").join(two, "r")
-    return joined.select("s1", "r", pair_udf(lambda a, b: novel_count(a, b, vocabulary), LongType())("ctoks1", "ctoks2").alias("nov_r"), pair_udf(lambda a, b: novel_count(a, b), LongType())("ctoks2", "ctoks1").alias("miss_r"))
+    return joined.select("s1", "r", pair_udf(lambda a, b: novel_counts(a, b, vocabulary), LongType())("ctoks1", "ctoks2").alias("nov_r"), pair_udf(novel_counts, LongType())("ctoks2", "ctoks1").alias("miss_r"))
 
 
 def twin_features(pairs: DataFrame) -> DataFrame:
@@ -127,9 +136,28 @@ def v3_features(pairs: DataFrame, clean1: DataFrame, clean2: DataFrame, idf: Dat
     )
 
 
-_alone_pairs = pair_udf(lambda word, known: not any(close(word[0], k) for k in known), BooleanType())
-_fuzzy_pairs = pair_udf(lambda word, known: any(jaro_winkler(word[0], k) >= 0.92 for k in known), BooleanType())
-_unmatched = pair_udf(lambda a, b: sum(not any(x == y or jaro_winkler(x, y) >= 0.9 for y in b) for x in a), LongType())
+def _alone_words(words: list[tuple[str, ...]], known: list[tuple[str, ...]]) -> list[bool]:
+    near = close_words(list({(w[0], k) for w, ks in zip(words, known, strict=True) for k in ks}))
+    return [not any((w[0], k) in near for k in ks) for w, ks in zip(words, known, strict=True)]
+
+
+def _alike(a: list[tuple[str, ...]], b: list[tuple[str, ...]], least: float) -> set[tuple[str, str]]:
+    pairs = list({(x, y) for p, q in zip(a, b, strict=True) for x in p for y in q})
+    like = jaro_winklers([x for x, _ in pairs], [y for _, y in pairs])
+    return {pairs[k] for k in np.flatnonzero(like >= least).tolist()}
+
+
+def _fuzzy_words(words: list[tuple[str, ...]], known: list[tuple[str, ...]]) -> list[bool]:
+    like = _alike(words, known, 0.92)
+    return [any((w[0], k) in like for k in ks) for w, ks in zip(words, known, strict=True)]
+
+
+def _unmatched_parts(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> list[int]:
+    like = _alike(a, b, 0.9)
+    return [sum(not any((x, y) in like for y in q) for x in p) for p, q in zip(a, b, strict=True)]
+
+
+_alone_pairs, _fuzzy_pairs, _unmatched = pair_udf(_alone_words, BooleanType()), pair_udf(_fuzzy_words, BooleanType()), pair_udf(_unmatched_parts, LongType())
 
 
 def _alone(word: str, known: str) -> Column:

@@ -236,6 +236,47 @@ _ADDR = {
     "ad_last_eq": "coalesce((a.addr_toks[-1] = b.addr_toks[-1])::int, 0)",
 }
 SET_COLUMNS = [f"round(({v})::double, 6) as {k}" for k, v in _SETS.items()] + [f"round((case when not a.addr_missing and not b.addr_missing then {v} end)::double, 6) as {k}" for k, v in _ADDR.items()]
+def lcs(a: str, b: str) -> str:
+    """Longest common subsequence by rows of its table; characters as lists of their code, so that all parts have one type."""
+    row = f"list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + case when substr({b}, i::int, 1) = chr(c[1]::int) then 1 else 0 end))))"
+    codes = f"list_transform(string_split({a}, ''), lambda x: [unicode(x)::bigint])"
+    return f"case when {a} = '' or {b} = '' then 0 else list_last(list_reduce({codes}, lambda row, c: list_concat([0::bigint], {row}), list_transform(range(0, length({b}) + 1), lambda x: 0::bigint))) end"
+
+
+def indel(a: str, b: str) -> str:
+    return f"case when {a} = '' and {b} = '' then 1.0::double else 2.0::double * ({lcs(a, b)}) / (length({a}) + length({b})) end"
+
+
+def osa(a: str, b: str) -> str:
+    """Edits with swaps, by rows, each character in two steps.
+
+    The state is the row before, the row, the last character's code and place, and what a step passes to the next.
+    """
+    swap = f"case when s[3][2] >= 1 and j >= 2 and substr({b}, (j - 1)::int, 1) = chr(c[1][1]::int) and substr({b}, j::int, 1) = chr(s[3][1]::int) then s[1][j - 1] + 1 else 100000 end"
+    cells = f"list_concat([s[3][2] + 1], list_transform(range(1, length({b}) + 1), lambda j: least(s[2][j + 1] + 1, s[2][j] + case when substr({b}, j::int, 1) = chr(c[1][1]::int) then 0 else 1 end, {swap})))"
+    row = "list_transform(range(1, len(s[4]) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: s[4][k] + j - k)))"
+    codes = f"flatten(list_transform(string_split({a}, ''), lambda x: [[[unicode(x)::bigint, 0]], [[unicode(x)::bigint, 1]]]))"
+    first = f"[list_transform(range(0, length({b}) + 1), lambda x: 0::bigint), range(0, length({b}) + 1), [0::bigint, 0], [0::bigint]]"
+    both = f"case when c[1][2] = 0 then [s[1], s[2], s[3], {cells}] else [s[2], {row}, [c[1][1], s[3][2] + 1], [0::bigint]] end"
+    return f"case when {a} = '' then length({b}) when {b} = '' then length({a}) else list_last(list_reduce({codes}, lambda s, c: {both}, {first})[2]) end"
+
+
+def monge(a: str, b: str) -> str:
+    like = "case when x = y then 1.0::double else jaro_winkler_similarity(x, y) end"
+    return f"case when len({a}) > 0 and len({b}) > 0 then list_avg(list_transform({a}, lambda x: list_max(list_transform({b}, lambda y: {like})))) end"
+
+
+def _sorted_words(x: str) -> str:
+    return f"array_to_string(list_sort({tokens(x)}), ' ')"
+
+
+TOKEN_SET = f"""{{blocks}},
+ts0 as (select s1, r, list_distinct({tokens('a.name_sq')}) as x, list_distinct({tokens('b.name_sq')}) as y from bk join n1 a on a.id = bk.s1 join n2 b on b.id = bk.r),
+ts1 as (select *, array_to_string(list_sort(list_intersect(x, y)), ' ') as sh, array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ') as le,
+        array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ') as ri from ts0),
+ts2 as (select *, trim(sh || ' ' || le) as ab, trim(sh || ' ' || ri) as ba from ts1),
+ts3 as (select *, {indel('ab', 'ba')} as base from ts2)"""
+
 JOINED = "from bk join n1 a on a.id = bk.s1 join n2 b on b.id = bk.r"
 
 
@@ -260,6 +301,15 @@ from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as co
     "set_features": with_(BLOCKS, f"select s1, r, {', '.join(SET_COLUMNS)} {JOINED}"),
     "ngram_jaccard": with_(BLOCKS, f"select s1, r, round({jaccard(_grams('a.name_core', 3), _grams('b.name_core', 3))}, 6) as tri_jac, round({jaccard(_grams('a.name_core', 2), _grams('b.name_core', 2))}, 6) as bi_jac {JOINED}"),
     "jaro_winkler": with_(BLOCKS, f"select s1, r, round(case when a.name_core = b.name_core then 1 else jaro_winkler_similarity(a.name_core, b.name_core) end, 6) as nm_jw {JOINED}"),
+    "fuzz_ratio": with_(BLOCKS, f"select s1, r, round({indel('a.name_sq', 'b.name_sq')}, 6) as nm_ratio, round({indel('a.name_core', 'b.name_core')}, 6) as nm_core_ratio {JOINED}"),
+    "token_sort": with_(f"{BLOCKS}, so as (select s1, r, {_sorted_words('a.name_sq')} as x, {_sorted_words('b.name_sq')} as y {JOINED})", f"select s1, r, round({indel('x', 'y')}, 6) as nm_tsort from so"),
+    "token_set": with_(
+        TOKEN_SET.format(blocks=BLOCKS),
+        "select s1, r, round(case when len(x) = 0 or len(y) = 0 then 0.0::double when sh <> '' and (le = '' or ri = '') then 1.0::double"
+        " when sh = '' then base else greatest(base, 2.0::double * length(sh) / (length(sh) + least(length(ab), length(ba)))) end, 6) as nm_tset from ts3",
+    ),
+    "osa": with_(BLOCKS, f"select s1, r, ({osa('a.name_core', 'b.name_core')})::bigint as nm_osa {JOINED}"),
+    "monge_elkan": with_(BLOCKS, f"select s1, r, round({monge('a.name_toks', 'b.name_toks')}, 6) as me_ab, round({monge('b.name_toks', 'a.name_toks')}, 6) as me_ba {JOINED}"),
     "levenshtein_sim": with_(BLOCKS, f"select s1, r, round(1 - levenshtein(a.name_sq, b.name_sq)::double / greatest(length(a.name_sq), length(b.name_sq), 1), 6) as lev {JOINED}"),
     "split_folds": with_(UNIVERSE, f"select id as s1, (floor({bucket('id', '43', 100)} / 20))::bigint as fold, {bucket('id', '43', 100)} < 20 as is_val, {bucket('id', '53', 2)}::bigint as half from e"),
     "density_drop": with_(SCORED, f"select s1, r from sc where {bucket('s1', '47', 100)} >= 19"),

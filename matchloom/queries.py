@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.kernels import jaro_winkler_udf
+from .functions import kernels as K
 from .functions.text import bucket, grams, jaccard
 from .operators import blocking, context, decode, dense, features, learning, metrics, precision, scorers
 from .operators.normalize import normalize
@@ -157,7 +157,46 @@ def ngram_jaccard(spark, sf_dir):
 
 @query
 def jaro_winkler(spark, sf_dir):
-    return attached(spark, sf_dir).select("s1", "r", F.round(jaro_winkler_udf("name_core_a", "name_core_b"), 6).alias("nm_jw"))
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.jaro_winkler_udf("name_core_a", "name_core_b"), 6).alias("nm_jw"))
+
+
+@query
+def fuzz_ratio(spark, sf_dir):
+    """Indel similarity of names, and of their cores."""
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.ratio_udf("name_sq_a", "name_sq_b"), 6).alias("nm_ratio"), F.round(K.ratio_udf("name_core_a", "name_core_b"), 6).alias("nm_core_ratio"))
+
+
+@query
+def token_sort(spark, sf_dir):
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.token_sort_udf("name_sq_a", "name_sq_b"), 6).alias("nm_tsort"))
+
+
+@query
+def token_set(spark, sf_dir):
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.token_set_udf("name_sq_a", "name_sq_b"), 6).alias("nm_tset"))
+
+
+@query
+def partial_ratio(spark, sf_dir):
+    """No SQL: a window for every place of the longer name is too slow there."""
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.partial_udf("name_core_a", "name_core_b"), 6).alias("nm_partial"))
+
+
+@query
+def wratio(spark, sf_dir):
+    """No SQL, as it needs partial ratios."""
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.weighted_udf("name_sq_a", "name_sq_b"), 6).alias("nm_wr"))
+
+
+@query
+def osa(spark, sf_dir):
+    return attached(spark, sf_dir).select("s1", "r", K.osa_udf("name_core_a", "name_core_b").alias("nm_osa"))
+
+
+@query
+def monge_elkan(spark, sf_dir):
+    both = F.col("name_toks_a"), F.col("name_toks_b")
+    return attached(spark, sf_dir).select("s1", "r", F.round(K.monge_elkan_udf(*both), 6).alias("me_ab"), F.round(K.monge_elkan_udf(*both[::-1]), 6).alias("me_ba"))
 
 
 @query

@@ -48,6 +48,36 @@ def test_kernels():
             assert 0 <= f(a, b) <= 1 + 1e-9 and f(a, b) == pytest.approx(f(b, a), abs=0.12 if f is K.jaro_winkler else 1e-9)
 
 
+def test_batch_kernels_are_the_plain_ones():
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choice("abcde é日 ") for _ in range(rnd.choice([0, 1, 3, 8, 20, 40, 64, 65, 130])))
+    a = [text() for _ in range(400)]
+    b = [x[: rnd.randint(0, len(x))] + text() if rnd.random() < 0.4 else x if rnd.random() < 0.1 else text() for x in a]
+    pairs = (
+        (K.ratio, K.ratios), (K.token_sort_ratio, K.token_sort_ratios), (K.token_set_ratio, K.token_set_ratios), (K.partial_ratio, K.partial_ratios), (K.weighted_ratio, K.weighted_ratios),
+        (K.jaro_winkler, K.jaro_winklers), (K.osa_distance, lambda x, y: K.edit_distances(x, y, True)), (K.levenshtein, lambda x, y: K.edit_distances(x, y, False)),
+    )
+    for plain, batch in pairs:
+        assert batch(a, b) == pytest.approx([plain(x, y) for x, y in zip(a, b, strict=True)]), plain.__name__
+        assert len(batch([], [])) == 0
+    x, y = [tuple(t.split()) for t in a], [tuple(t.split()) for t in b]
+    assert K.monge_elkans(x, y) == pytest.approx([K.monge_elkan(p, q) for p, q in zip(x, y, strict=True)])
+    assert K.over_pairs(K.ratios, ["ab", None, "ab"], ["ab", "x", None]) == [1.0, None, None]
+
+
+# Golden values of the usual definitions, worked out by hand: indel ratios of the shown alignments.
+GOLDEN = (
+    (K.ratio, "this is a test", "this is a test!", 28 / 29), (K.token_sort_ratio, "fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 1.0), (K.token_set_ratio, "fuzzy was a bear", "fuzzy fuzzy was a bear", 1.0),
+    (K.partial_ratio, "this is a test", "this is a test!", 1.0), (K.weighted_ratio, "this is a test", "test a is this", 0.95), (K.jaro_winkler, "dwayne", "duane", 0.84), (K.jaro_winkler, "dixon", "dicksonx", 0.8133333),
+    (K.osa_distance, "ab", "ba", 1), (K.osa_distance, "ca", "abc", 3), (K.levenshtein, "ab", "ba", 2),
+)
+
+
+def test_golden_kernels():
+    for kernel, a, b, want in GOLDEN:
+        assert kernel(a, b) == pytest.approx(want, abs=1e-6), (kernel.__name__, a, b)
+
+
 def test_normaliser(spark):
     rows = records(spark, ("M/s. Café Phönix Pvt Ltd", "007 Main St., New York", "US"), ("www.green-hill.co.in", "N/A", "India"), ("The Co", None, "France"), (None, "12 r de la Paix cc", "France"), ("L.L.C.", "5 West Virginia New York Rd", "US"))
     made = {r["id"]: r for r in normalize(rows).collect()}
@@ -123,8 +153,8 @@ def test_dense(spark):
 
 
 def test_precision():
-    assert precision.novel_count(["north", "wind"], ["north", "wind", "trading"]) == 1 and precision.novel_count(["north"], ["nort", "12", "ab"]) == 0
-    assert precision.novel_count(["north"], ["trading"], frozenset({"tradin"})) == 0
+    assert precision.novel_counts([("north", "wind"), ("north",), ()], [("north", "wind", "trading"), ("nort", "12", "ab"), ("new",)]) == [1, 0, 1]
+    assert precision.novel_counts([("north",)], [("trading",)], frozenset({"tradin"})) == [0]
 
 
 def test_learning(spark, linked):

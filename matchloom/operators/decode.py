@@ -68,3 +68,26 @@ def candidate_lists(blocked: DataFrame, dense: DataFrame, entities: DataFrame) -
 def unlisted(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matches that aren't among the candidates; there should be none."""
     return matches.select("s1", "r").join(candidates.select("s1", "r"), ["s1", "r"], "left_anti")
+
+
+def result_faults(lists: DataFrame, candidates: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """fault, n: what is wrong with result lists (s1, matched): counts of every kind of fault, 0 where there is none.
+
+    Entities that are missing, unknown or repeated, records that are unknown or repeated in a list, and matches that
+    aren't among the candidates.
+    """
+    ids = lists.select("s1", F.explode(F.split("matched", ",")).alias("r")).where("r <> ''")
+    known, owned = entities.select(F.col("id").alias("s1")), records.select(F.col("id").alias("r"))
+    counts = {
+        "entity missing": known.join(lists, "s1", "left_anti").agg(F.count(F.lit(1))),
+        "entity unknown": lists.join(known, "s1", "left_anti").agg(F.count(F.lit(1))),
+        "entity repeated": lists.agg(F.count(F.lit(1)) - F.count_distinct("s1")),
+        "record unknown": ids.join(owned, "r", "left_anti").agg(F.count(F.lit(1))),
+        "record repeated": ids.groupBy("s1", "r").agg((F.count(F.lit(1)) - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))),
+        "match no candidate": unlisted(ids, candidates).agg(F.count(F.lit(1))),
+    }
+    out = None
+    for fault, count in counts.items():
+        part = count.toDF("n").select(F.lit(fault).alias("fault"), F.col("n").cast("long").alias("n"))
+        out = part if out is None else out.union(part)
+    return out

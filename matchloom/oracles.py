@@ -194,6 +194,14 @@ def others(key: str, value: str | None = None) -> str:
     return f"case when {key} is not null then ({made})::double end"
 
 
+_STACK = f"""so as (select s1, r, dn_sim, {bucket("s1 || '|' || r", 'p1', 10000)} / 10000.0::double as p1, {bucket("s1 || '|' || r", 'p2', 10000)} / 10000.0::double as p2, {bucket("s1 || '|' || r", 'ce', 10000)} / 10000.0::double as ce from tk where dn_rank <= 3),
+sn as (select s1, r, dn_sim, {bucket("s1 || '|' || r", 'p1', 10000)} / 10000.0::double as p1, null::double as p2, {bucket("s1 || '|' || r", 'ce', 10000)} / 10000.0::double as ce
+       from (select *, row_number() over (partition by s1 order by dn_sim desc, r) as k from tk where dn_sim >= 0.2 and not exists (select 1 from so where so.s1 = tk.s1 and so.r = tk.r)) where k <= 5),
+tr as (select tk.s1, tk.r from tk join embeddings a on a.vec_id::varchar = tk.s1 join embeddings b on b.vec_id::varchar = tk.r where a.label = b.label),
+st as (select s1, r, is_new, p1, dn_sim, ce, coalesce(dn_rank, 11)::double as dn_rank, case when p2 >= 0.3 then p2 else 0.0::double end as p2c
+       from (select *, 0 as is_new from so union all select *, 1 from sn) left join (select s1, r, dn_rank from tk) using (s1, r))"""
+
+
 def with_(ctes: str, query: str) -> str:
     """The query behind the shared CTEs; a query that begins with a comma goes on with CTEs of its own."""
     return f"with {ctes}\n{query}"
@@ -366,6 +374,27 @@ _VEC = "vq as (select vec_id::varchar as id, embedding::double[] as v from embed
 _TOP = f"""{_VEC}, tk as (select * from (select *, row_number() over (partition by s1 order by dn_sim desc, r) as dn_rank from (select a.id as s1, b.id as r, round(list_cosine_similarity(a.v, b.v), 9) as dn_sim from vq a, vq b where a.id <> b.id)) where dn_rank <= 10)"""
 _OLD = "od as (select * from tk where dn_rank <= 3)"
 ORACLES |= {
+    "stacker_union": with_(f"{_TOP}, {_STACK}", """select s1, r, is_new, dn_rank, p1, p2c, row_number() over (partition by s1 order by p2c desc, r) as p2_rank_s1, count(*) over e as n_cand,
+        row_number() over (partition by s1 order by ce desc, r) as ce_rank_s1, max(ce) over e as ce_max_s1, round(dn_sim, 6) as dn_sim, round(dn_sim - max(dn_sim) over e, 6) as dn_gap_s1,
+        round(ce - max(ce) over e, 6) as ce_gap_s1, round(sum(ce) over e, 6) as ce_sum_s1 from st window e as (partition by s1)"""),
+    "dense_training": with_(f"{_TOP}, {_STACK}", """select s1, r, (tr.r is not null)::int as y from (select * from (select s1, r from so order by md5(s1 || '|' || r), s1, r limit 400)
+        union select * from (select s1, r from sn order by md5(s1 || '|' || r), s1, r limit 300)) left join tr using (s1, r)"""),
+    "dense_recall": with_(f"{_TOP}, {_STACK}", """, nr as (select s1, r, row_number() over (partition by s1 order by dn_sim desc, r) as nk from tk where dn_sim >= 0.2 and not exists (select 1 from so where so.s1 = tk.s1 and so.r = tk.r)),
+        ks as (select unnest([1, 2, 3, 5, 10]) as k), ct as (select count(*) as n_true, count(*) filter (not exists (select 1 from so where so.s1 = tr.s1 and so.r = tr.r)) as missed from tr)
+        select k::int as k, round(count(nr.r)::double / (select count(*) from embeddings), 6) as pairs, count(tr.r) as recovered, any_value(missed) as missed, round(1 - (any_value(missed) - count(tr.r))::double / any_value(n_true), 6) as recall
+        from ks cross join ct left join nr on nk <= k left join tr on tr.s1 = nr.s1 and tr.r = nr.r group by k"""),
+    "dense_by_country": """with v as (select vec_id::varchar as id, embedding::double[] as v, label from embeddings),
+        p as (select a.id as s1, b.id as r, round(list_cosine_similarity(a.v, b.v), 9) as dn_sim from v a join v b using (label))
+        select s1, r, round(dn_sim, 6) as dn_sim, dn_rank from (select *, row_number() over (partition by s1 order by dn_sim desc, r) as dn_rank from p) where dn_rank <= 5""",
+    "json_settings": "select * from (values " + ", ".join(f"('{c}', {t}::double, {g}::double)" for c, (t, g) in SPEC.items()) + ") t(country, tau, gate)",
+    "word_list": with_(CLEAN, f"select distinct loc as word from (select country, id, unnest(list_distinct(comps)) as loc from c1) group by country, loc having count(*) >= {LOCALITY_LEAST}"),
+    "vector_store": "select vec_id::varchar as id, len(embedding)::bigint as n, round(list_inner_product(embedding::float[]::double[], embedding::float[]::double[]), 4) as squares from embeddings",
+    "stage_resume": with_(f"{NORM}, sk as ({keys('n2')})", "select country, fam, count(*) as n, count(distinct key) as n_keys, count(distinct id) as n_ids from sk where fam in ('n', 'a') group by all"),
+    "norm_unicode": with_(NORM, "select country, id, name_norm, name_core, addr_norm from (select * from n1 union all select * from n2)"),
+    "result_check": with_(SCORED, f""", ac as ({decoded('p2', '0.5', '0')}), ls as (select e.id as s1 from e where {bucket('e.id', 'lost', 50)} > 0),
+        al as (select ac.s1, ac.r from ac join ls using (s1))
+        select 'entity missing' as fault, (select count(*) from e) - (select count(*) from ls) as n union all select 'entity unknown', 0 union all select 'entity repeated', 0 union all select 'record unknown', 0
+        union all select 'record repeated', 0 union all select 'match no candidate', (select count(*) from al where not exists (select 1 from sc where sc.s1 = al.s1 and sc.r = al.r and p1 >= 0.5))"""),
     "dense_topk": with_(_TOP, "select s1, r, round(dn_sim, 6) as dn_sim, dn_rank from tk"),
     "pair_cosine": with_(_TOP, "select s1, r, round(list_cosine_similarity(a.v, b.v), 6) as dn_sim from tk join vq a on a.id = s1 join vq b on b.id = r"),
     "similarity_floor": with_(_TOP, "select round(dn_sim, 6) as value from (select dn_sim, row_number() over (order by dn_sim) - 1 as k, count(*) over () as n from tk) where k = floor(0.03 * (n - 1) + 0.5)"),

@@ -380,6 +380,14 @@ def unlisted_matches(spark, sf_dir):
     return decode.unlisted(found, pairs.where("p1 >= 0.5"))
 
 
+@query
+def result_check(spark, sf_dir):
+    """Faults of result lists that were spoilt by rule: some entities left out, some matches no candidates."""
+    one, _, pairs, found = accepted(spark, sf_dir)
+    lists = decode.result_lists(found, one).where(bucket(F.col("s1"), "lost", 50) > 0)
+    return decode.result_faults(lists, pairs.where("p1 >= 0.5"), one, normal(spark, sf_dir)[1])
+
+
 @query
 def macro_f05(spark, sf_dir):
     one, truth, _, found = accepted(spark, sf_dir)
@@ -484,6 +492,53 @@ def truth_lists(spark, sf_dir):
     return tables.read_truth(spark, path)
 
 
+@query
+def json_settings(spark, sf_dir):
+    """Thresholds by country written as JSON and read back."""
+    path = tables.shared_folder(spark, "settings-json")
+    tables.write_json(spark, {c: {"tau": t, "gate": g} for c, (t, g) in SPEC.items()}, path)
+    return spark.createDataFrame([(c, v["tau"], v["gate"]) for c, v in tables.read_json(spark, path).items()], "country string, tau double, gate double")
+
+
+@query
+def word_list(spark, sf_dir):
+    """All localities as a word list, written and read back."""
+    path = tables.shared_folder(spark, "words")
+    tables.write_words(precision.locality_vocabulary(cleaned(spark, sf_dir)[0]).select(F.col("loc").alias("word")).distinct(), path)
+    return tables.read_words(spark, path)
+
+
+@query
+def vector_store(spark, sf_dir):
+    """Vectors written in their stored form and read back."""
+    path = tables.shared_folder(spark, "vectors")
+    tables.write_vectors(vectors(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.select("id", F.size("vector").cast("long").alias("n"), F.round(dense.dot(F.col("vector"), F.col("vector")), 4).alias("squares"))
+
+
+@query
+def stage_resume(spark, sf_dir):
+    """A stage that is built once and read the second time, and keys counted by distinct values."""
+    path = tables.shared_folder(spark, "stage")
+    build = lambda: blocking.make_keys(normal(spark, sf_dir)[1], ("n", "a"))
+    tables.stage(spark, path, build)
+
+    def again():
+        raise RuntimeError("the stage is there already")
+
+    kept = tables.stage(spark, path, again)
+    return kept.groupBy("country", "fam").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.count_distinct("id").alias("n_ids"))
+
+
+@query
+def norm_unicode(spark, sf_dir):
+    """The normaliser with all Unicode marks dropped, not only those of a table of letters."""
+    one, two, _ = (x for x in universe(spark, sf_dir))
+    made = normalize(one, unicode=True).union(normalize(two, unicode=True))
+    return made.select("country", "id", "name_norm", "name_core", "addr_norm")
+
+
 # dense retrieval
 
 
@@ -521,6 +576,51 @@ def dense_new_pairs(spark, sf_dir):
     return dense.new_candidates(found, found.where("dn_rank <= 3"), 0.2).select("s1", "r", six("dn_sim"), "dn_rank")
 
 
+def stacked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All neighbours, the old candidates (ranks up to 3) with scores that follow from the pair, the new ones, the truth.
+
+    The truth is what has the same label.
+    """
+    found = tables.materialise(nearest(spark, sf_dir), "nearest")
+    pair = F.concat("s1", F.lit("|"), "r")
+    scores = [(bucket(pair, p, 10000) / 10000.0).alias(p) for p in ("p1", "p2", "ce")]
+    old = found.where("dn_rank <= 3").select("s1", "r", "dn_sim", *scores)
+    new = dense.new_candidates(found, old, 0.2).select("s1", "r", "dn_sim", scores[0], scores[2])
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), "label")
+    one, two = labels.toDF("s1", "l1"), labels.toDF("r", "l2")
+    truth = found.join(one, "s1").join(two, "r").where("l1 = l2").select("s1", "r")
+    return found, old, new, truth
+
+
+@query
+def stacker_union(spark, sf_dir):
+    """Old and new candidates with all features of the stacker."""
+    found, old, new, _ = stacked(spark, sf_dir)
+    made = dense.stacker_rows(old, new, found)
+    exact = ("s1", "r", "is_new", "dn_rank", "p1", "p2c", "p2_rank_s1", "n_cand", "ce_rank_s1", "ce_max_s1")
+    return made.select(*exact, *(six(c) for c in ("dn_sim", "dn_gap_s1", "ce_gap_s1", "ce_sum_s1")))
+
+
+@query
+def dense_training(spark, sf_dir):
+    """Hashed samples of old and new candidates with their labels."""
+    _, old, new, truth = stacked(spark, sf_dir)
+    return dense.scorer_pairs(old, new, truth, 400, 300)
+
+
+@query
+def dense_recall(spark, sf_dir):
+    found, old, _, truth = stacked(spark, sf_dir)
+    return dense.recall_report(found, old, truth, vectors(spark, sf_dir), 0.2).select("k", six("pairs"), "recovered", "missed", six("recall"))
+
+
+@query
+def dense_by_country(spark, sf_dir):
+    """The five nearest among vectors of the same label, as of one country."""
+    every = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label")
+    return dense.top_k_cosine(every, every, 5, 128, 256, by="label").select("s1", "r", six("dn_sim"), "dn_rank")
+
+
 @query
 def text_embeddings(spark, sf_dir):
     """The encoder's stand-in, on the records' texts."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +49,18 @@ def write_by_country(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("country").parquet(path)
 
 
+def write_package(folders: dict[str, str], path: str) -> None:
+    """A zip at a path of the driver with one file a folder (name in the zip -> folder that the driver sees), parts in order."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, folder in folders.items():
+            with z.open(name, "w") as out:
+                for k, part in enumerate(sorted(Path(folder.removeprefix("file://")).glob("part-*"))):
+                    with part.open("rb") as f:
+                        if k:
+                            f.readline()  # every part has a header
+                        shutil.copyfileobj(f, out)
+
+
 def _file(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -86,8 +103,10 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Dat
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share; a local one where it is unset."""
+    """A fresh path below spark.checkpoint.dir, which driver and executors share; a local one where it is unset and all is local."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='matchloom-')}")
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
 
@@ -96,4 +115,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: df written to the shared folder and read again, so that later plans stay small."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def forget(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what materialise() has written from number since on, but keep; its tables can't be read any more."""
+    own = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    for k in range(len(_written) - 1, since - 1, -1):
+        spark, path = _written[k]
+        if path.rpartition("/")[2] not in own:
+            p, fs = _file(spark, path)
+            fs.delete(p, True)
+            del _written[k]
+
+
+def written() -> int:
+    """How many tables of materialise() there are."""
+    return len(_written)
+
+
+@atexit.register
+def _forget_all() -> None:
+    try:
+        forget()
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass

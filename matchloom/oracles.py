@@ -208,6 +208,8 @@ def with_(ctes: str, query: str) -> str:
 
 
 ROUND = "round({0}, 6) as {0}".format
+#: What the linkage must reach on records that its models have not seen.
+FLOORS = {"recall of candidates": 0.95, "macro F0.5": 0.9, "average precision": 0.9}
 TAUS, GATES = (0.3, 0.5, 0.7, 0.9), (0.0, 0.5, 0.8)
 SPEC = {"US": (0.5, 0.6), "India": (0.7, 0.0)}
 DEFAULT = (0.6, 0.65)
@@ -386,6 +388,7 @@ ORACLES |= {
     "dense_by_country": """with v as (select vec_id::varchar as id, embedding::double[] as v, label from embeddings),
         p as (select a.id as s1, b.id as r, round(list_cosine_similarity(a.v, b.v), 9) as dn_sim from v a join v b using (label))
         select s1, r, round(dn_sim, 6) as dn_sim, dn_rank from (select *, row_number() over (partition by s1 order by dn_sim desc, r) as dn_rank from p) where dn_rank <= 5""",
+    "link_f05": "select * from (values " + ", ".join(f"('{n}', {v}::double, true)" for n, v in FLOORS.items()) + ") t(metric, floor, reached)",
     "json_settings": "select * from (values " + ", ".join(f"('{c}', {t}::double, {g}::double)" for c, (t, g) in SPEC.items()) + ") t(country, tau, gate)",
     "word_list": with_(CLEAN, f"select distinct loc as word from (select country, id, unnest(list_distinct(comps)) as loc from c1) group by country, loc having count(*) >= {LOCALITY_LEAST}"),
     "vector_store": "select vec_id::varchar as id, len(embedding)::bigint as n, round(list_inner_product(embedding::float[]::double[], embedding::float[]::double[]), 4) as squares from embeddings",

@@ -11,8 +11,8 @@ from .functions import kernels as K
 from .functions.text import bucket, grams, jaccard
 from .operators import blocking, context, decode, dense, features, learning, metrics, precision, scorers
 from .operators.normalize import normalize
-from .oracles import DEFAULT, GATES, SPEC, TAUS
-from .plans.linkage import CONTEXT, STAGE1
+from .oracles import DEFAULT, FLOORS, GATES, SPEC, TAUS
+from .plans.linkage import LinkageConfig, LinkageModel, at_density, featured, fit_linkage, link_new, orphan_experiment
 from .plans.universe import universe
 from .sources import tables
 
@@ -634,35 +634,89 @@ def pair_scores(spark, sf_dir):
     return scorers.score_pairs(pairs, scorers.record_text(one), scorers.record_text(two))
 
 
+# the whole linkage
+
+
+def two_worlds(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, DataFrame, DataFrame], ...]:
+    """Entities, records and truth in two halves by the entity's key: one to fit on, one that is new."""
+    entities, records, truth = universe(spark, sf_dir)
+    half = lambda c: bucket(F.expr(f"substr({c}, 2)"), "world", 2)
+    return tuple((entities.where(half("id") == k), records.where(half("id") == k), truth.where(half("s1") == k)) for k in (0, 1))
+
+
+def reached(spark: SparkSession, values: dict[str, float], floors: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame([(n, floors[n], v >= floors[n]) for n, v in values.items()], "metric string, floor double, reached boolean")
+
+
+@query
+def link_f05(spark, sf_dir):
+    """Models fitted on one half, saved, loaded, and applied to the other half: what the result must reach."""
+    (one, two, truth), (new_one, new_two, new_truth) = two_worlds(spark, sf_dir)
+    path = tables.shared_folder(spark, "linkage-model")
+    fit_linkage(one, two, truth).save(spark, path)
+    blocks, final, found = link_new(LinkageModel.load(spark, path), new_one, new_two)
+    values = {
+        "recall of candidates": blocking.recall_at(blocks, new_truth, (100,)).first()["recall"],
+        "macro F0.5": metrics.macro_f05(found, new_truth, new_one).first()["f05"],
+        "average precision": metrics.average_precision(learning.label(by(final, "p2"), new_truth)).agg(F.min("ap")).first()[0],
+    }
+    return reached(spark, values, FLOORS)
+
+
+@query
+def density_simulation(spark, sf_dir):
+    """F0.5 by threshold on the validation fold when 19 percent of the entities are missing."""
+    records = universe(spark, sf_dir)
+    model = fit_linkage(*records)
+    return at_density(model, *records).select("tau", six("f05"))
+
+
+@query
+def weighted_training(spark, sf_dir):
+    """The second stage with pairs of unowned records weighted 1 and 5 times."""
+    records = universe(spark, sf_dir)
+    return orphan_experiment(*records, weights=(1.0, 5.0)).select("weight", "tau", six("plain"), six("test_like"))
+
+
 # learning
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Labelled candidates with all features of the first stage."""
     one, two, truth, found = blocks(spark, sf_dir)
-    sets = features.attach_records(found, one, two).select("s1", "r", *(c.alias(n) for n, c in features.set_features().items()))
-    rows = context.record_context(found, context.record_stats(found)).join(sets, ["s1", "r"])
-    return tables.materialise(learning.label(rows, truth), "training-rows"), [*features.set_features(), *STAGE1, *CONTEXT]
+    rows, names = featured(one, two, tables.materialise(found, "blocks"))
+    return tables.materialise(learning.label(rows, truth), "training-rows"), names
+
+
+LEARNER = LinkageConfig().learner
 
 
 @query
 def gbdt_oof(spark, sf_dir):
     rows, names = training_rows(spark, sf_dir)
-    return learning.out_of_fold(rows, names, trees=5, depth=4).select("s1", "r", "fold", "y", "p1")
+    return learning.out_of_fold(rows, names, **LEARNER).select("s1", "r", "fold", "y", "p1")
 
 
 @query
 def stacker_crossfit(spark, sf_dir):
+    """The stacker in halves, on rows with first scores out of fold, second scores in halves and their context."""
     rows, names = training_rows(spark, sf_dir)
-    return learning.cross_fit(rows, names, trees=5, depth=4).select("s1", "r", "half", "y", "ps")
+    first = tables.materialise(learning.out_of_fold(rows, names, **LEARNER).drop("fold"), "p1")
+    second = tables.materialise(context.stage2_context(first.where("p1 >= 0.02")), "stage2")
+    more = [c for c in second.columns if c not in rows.columns]
+    scored = learning.cross_fit(second, [*names, *more], "p2", **LEARNER).drop("half")
+    stack = tables.materialise(context.stacker_context(scored.withColumn("ce", F.col("nm_tset"))), "stack")
+    own = ["p1", "p2c", "p2_rank_s1", "ce", "ce_rank_s1", "ce_max_s1", "ce_gap_s1", "ce_sum_s1"]
+    return learning.cross_fit(stack, [c for c in own if c in stack.columns], "ps", **LEARNER).select("s1", "r", "half", "y", "ps")
 
 
 @query
 def loco(spark, sf_dir):
     rows, names = training_rows(spark, sf_dir)
-    return learning.leave_one_country_out(rows, names, trees=5, depth=4).select("country", "s1", "r", "y", "p")
+    return learning.leave_one_country_out(rows, names, **LEARNER).select("country", "s1", "r", "y", "p")
 
 
 @query
 def feature_importance(spark, sf_dir):
     rows, names = training_rows(spark, sf_dir)
-    return spark.createDataFrame(learning.importance(learning.fit_trees(rows, names, trees=5, depth=4), names), "feature string, gain double")
+    return spark.createDataFrame(learning.importance(learning.fit_trees(rows, names, **LEARNER), names), "feature string, gain double")

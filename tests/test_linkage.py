@@ -217,3 +217,45 @@ def test_linkage_end_to_end(spark):
     scored, matches = link(entities, recs, truth, LinkageConfig(candidates=20, trees=2))
     assert {"p1", "p2"} <= set(scored.columns)
     assert metrics.macro_f05(matches, truth, entities).first()["f05"] > 0.9
+
+
+def test_saved_models_score_new_records(spark, tmp_path):
+    from matchloom.plans.linkage import LinkageConfig, LinkageModel, at_density, fit_linkage, link_new, orphan_experiment
+    from matchloom.queries import two_worlds
+
+    world, new = two_worlds(spark, SMALL)
+    config = LinkageConfig(candidates=20, trees=2, depth=3)
+    model = fit_linkage(*world, config)
+    model.save(spark, f"file://{tmp_path}/model")
+    again = LinkageModel.load(spark, f"file://{tmp_path}/model")
+    assert (again.config, again.names, again.more, len(again.first)) == (config, model.names, model.more, 5)
+    results = [link_new(m, *new[:2]) for m in (model, again)]
+    assert [sorted(map(tuple, r[2].select("s1", "r").collect())) for r in results][0] == sorted(map(tuple, results[1][2].select("s1", "r").collect()))
+    assert metrics.macro_f05(results[1][2], new[2], new[0]).first()["f05"] > 0.85
+    assert decode.unlisted(results[1][2], results[1][0]).count() == 0
+    assert {r["tau"] for r in at_density(model, *world, taus=(0.5, 0.7)).where("f05 between 0.3 and 1").collect()} == {0.5, 0.7}
+    rows = orphan_experiment(*world, weights=(1.0, 5.0), config=config, taus=(0.5,)).collect()
+    assert {r["weight"] for r in rows} == {1.0, 5.0} and all(0 <= r["test_like"] <= r["plain"] + 1e-9 <= 1.1 for r in rows)
+
+
+def test_running_sums_and_package(spark, tmp_path):
+    import zipfile
+
+    from matchloom.operators.running import running_sums
+
+    rows = spark.createDataFrame([("a" if k % 3 else "b", k, k % 7) for k in range(200)], "g string, k long, n long").repartition(5)
+    made = {(r["g"], r["k"]): r["s"] for r in running_sums(rows, ["g"], F.desc("k"), {"s": "n"}).collect()}
+    assert all(made[g, k] == sum(j % 7 for j in range(k, 200) if (j % 3 > 0) == (k % 3 > 0)) for g, k in made) and len(made) == 200
+    assert running_sums(rows.limit(0), ["g"], F.col("k"), {"s": "n"}).count() == 0
+    tables.write_tsv(rows.select(F.col("g").alias("a")), f"file://{tmp_path}/part")
+    tables.write_package({"result.tsv": f"file://{tmp_path}/part"}, f"{tmp_path}/all.zip")
+    with zipfile.ZipFile(f"{tmp_path}/all.zip") as z:
+        lines = z.read("result.tsv").decode().split()
+    assert lines[0] == "a" and len(lines) == 201
+
+
+def test_result_faults(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    lists = frame([("a", "x,x,q"), ("a", "y"), ("z", "")], "s1 string, matched string")
+    made = decode.result_faults(lists, frame([("a", "x")], "s1 string, r string"), frame([("a",), ("b",)], "id string"), frame([("x",), ("y",)], "id string"))
+    assert {r["fault"]: r["n"] for r in made.collect()} == {"entity missing": 1, "entity unknown": 1, "entity repeated": 1, "record unknown": 1, "record repeated": 1, "match no candidate": 2}

@@ -116,11 +116,8 @@ class LinkageModel:
         return learning.score(self.second, materialise(rows, "stage2"), [*self.names, *self.more], "p2")
 
 
-def fit_linkage(records1: DataFrame, records2: DataFrame, truth: DataFrame, config: LinkageConfig = LinkageConfig(), orphan_weight: float | None = None) -> LinkageModel:
-    """Models of both stages; the second sees first scores out of fold, without fold 0, which is left for validation.
-
-    With orphan_weight, pairs of records that nobody owns count so many times in the second stage.
-    """
+def _first_stage(records1: DataFrame, records2: DataFrame, truth: DataFrame, config: LinkageConfig) -> tuple[LinkageModel, DataFrame]:
+    """A model without its second stage, and the labelled rows of that stage with first scores out of fold."""
     one, two, blocks = candidates(records1, records2, config)
     rows, names = featured(one, two, materialise(blocks, "blocks"))
     rows = materialise(learning.label(rows, truth), "pairs")
@@ -129,11 +126,23 @@ def fit_linkage(records1: DataFrame, records2: DataFrame, truth: DataFrame, conf
     model = LinkageModel(config, first, first[0], names, [])
     scored = materialise(model.first_scores(rows, by_fold=True), "p1")
     second, model.more = second_features(scored, one, two, config)
-    second = second.where(number != 0)
+    return model, materialise(second, "stage2")
+
+
+def _second_stage(model: LinkageModel, rows: DataFrame, truth: DataFrame, orphan_weight: float | None) -> PipelineModel:
+    rows, weight = rows.where(learning.fold(F.col("s1")) != 0), {}
     if orphan_weight:
-        second = learning.orphan_weights(second, truth, orphan_weight)
-    weight = {"weight": "w"} if orphan_weight else {}
-    model.second = learning.fit_trees(materialise(second, "stage2"), [*names, *model.more], **config.learner, **weight)
+        rows, weight = learning.orphan_weights(rows, truth, orphan_weight), {"weight": "w"}
+    return learning.fit_trees(materialise(rows, "stage2-fit"), [*model.names, *model.more], **model.config.learner, **weight)
+
+
+def fit_linkage(records1: DataFrame, records2: DataFrame, truth: DataFrame, config: LinkageConfig = LinkageConfig(), orphan_weight: float | None = None) -> LinkageModel:
+    """Models of both stages; the second sees first scores out of fold, without fold 0, which is left for validation.
+
+    With orphan_weight, pairs of records that nobody owns count so many times in the second stage.
+    """
+    model, rows = _first_stage(records1, records2, truth, config)
+    model.second = _second_stage(model, rows, truth, orphan_weight)
     return model
 
 
@@ -168,13 +177,14 @@ def orphan_experiment(records1: DataFrame, records2: DataFrame, truth: DataFrame
 
     test_like counts a false match on an unowned record eight times.
     """
-    out = None
+    out, (model, rows) = None, _first_stage(records1, records2, truth, config)
+    kept = records1.where(learning.fold(F.col("id")) == 0).select("id", "country")
+    own = truth.join(kept.select(F.col("id").alias("s1")), "s1", "left_semi")
+    held = rows.where(learning.fold(F.col("s1")) == 0)
     for weight in weights:
-        model = fit_linkage(records1, records2, truth, config, weight if weight != 1 else None)
-        _, final, _ = link_new(model, records1, records2)
-        kept = normalize(records1, config.unicode).where(learning.fold(F.col("id")) == 0).select("id", "country")
-        own = truth.join(kept.select(F.col("id").alias("s1")), "s1", "left_semi")
-        pairs = materialise(final.where(learning.fold(F.col("s1")) == 0).select("country", "s1", "r", F.col("p2").alias("p")), "experiment")
+        second = _second_stage(model, rows, truth, weight if weight != 1 else None)
+        scored = learning.score(second, held, [*model.names, *model.more], "p2")
+        pairs = materialise(scored.select("country", "s1", "r", F.col("p2").alias("p")), "experiment")
         for tau in taus:
             found = decode.decode(pairs, tau)
             part = metrics.macro_f05(found, own, kept).select(F.lit(weight).alias("weight"), F.lit(tau).alias("tau"), F.col("f05").alias("plain"))

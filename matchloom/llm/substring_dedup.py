@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_memory
 from .suffix_sort import sort_suffixes
 
 LENGTH, GRAM = 400, 100
@@ -46,9 +46,9 @@ SEGMENT, LOW = 1 << 22, np.uint64((1 << 23) - 1)
 #: Neighbouring starts whose strings are looked at together in hot groups.
 STEP = 50
 #: Bytes of pieces that are looked through at once, and bytes that are sorted at once, unless one gram has more.
-PART, SHARD = 1 << 20, 3 << 20
+PART, SHARD = 1 << 20, 2 << 20
 #: Pieces whose results are held at once.
-FOUND = 1 << 15
+FOUND = 1 << 14
 #: Bytes of a gram's pieces from which they are dealt to several tasks.
 HOT = 6 << 20
 
@@ -157,6 +157,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
                     rows = pa.array(np.concatenate(owner))
                     cells = [pa.array(at.astype(np.int64)), pa.array(gram.view(np.int64)), pa.array(piece.view(np.int64)), pa.array((at - a).astype(np.int32)), pa.array((b - a).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([part.column("t1").take(rows), part.column("t2").take(rows), *cells], names=["t1", "t2", "at", "gram", "piece", "before", "size"])
+        release_memory()
 
     made = texts.select("text", "t1", "t2").mapInArrow(run, "t1 long, t2 long, at long, gram long, piece long, before int, size int")
     return made.groupBy(made.columns).agg(F.count(F.lit(1)).alias("n"))
@@ -320,6 +321,8 @@ def sorted_cover(pieces: DataFrame) -> DataFrame:
         if held:
             take()
             yield told()
+        del held, shard
+        release_memory()
 
     dealt = pieces.repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, COVER)
@@ -416,6 +419,7 @@ def removal(docs: DataFrame) -> DataFrame:
                         raws.append(data[start : start + w["size"]])
                         t1.append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)), pa.array(raws, pa.binary())], names=["t1", *names, "raw"])
+        release_memory()
 
     matched = texts.join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "t1", "wanted")
     found = matched.mapInArrow(cut, "t1 long, gram long, piece long, c long, at long, before int, size int, hot boolean, raw binary")
@@ -457,6 +461,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())[: 5 + keep_bytes]
                 cells = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cells], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"][: 6 + keep_bytes])
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", "text", *keys()).join(lost, ["t1", "t2"], "left").select("doc_id", "text", "froms", "tos")

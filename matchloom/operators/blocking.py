@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+
 FAMILIES = ("n", "s", "p", "c", "a", "b", "h", "m", "z")
 MORE_FAMILIES = ("k", "w")
 CAP_SHARE, CAP_LEAST = 5e-4, 40
@@ -76,15 +78,19 @@ def block_pairs(records1: DataFrame, records2: DataFrame, families: tuple[str, .
     A key's rows are at most its cap on either side, so no group of pairs is unbounded.
     """
     by = ["country", "fam", "key"]
-    keys1, keys2 = make_keys(records1, families), make_keys(records2, families)
-    weights = key_weights(keys1, keys2, records2)
-    kept1 = keys1.join(weights.select(*by, "w"), by).withColumnRenamed("id", "s1")
-    kept2 = keys2.join(weights.select(*by, "w"), by).withColumnRenamed("id", "r")
-    sums1 = kept1.groupBy("country", "s1").agg(F.sum("w").alias("ws"))
-    sums2 = kept2.groupBy("country", "r").agg(F.sum("w").alias("wr"))
+    # each side's keys are made once, and read for their counts, their sums and the pairs
+    keys1, keys2 = (materialise(make_keys(x, families), "keys") for x in (records1, records2))
+    weights = key_weights(keys1, keys2, records2).select(*by, "w")
+
+    def kept(keys: DataFrame, ident: str, total: str) -> DataFrame:
+        own = keys.join(weights, by).withColumnRenamed("id", ident)
+        return own.withColumn(total, F.sum("w").over(Window.partitionBy("country", ident)))
+
     one = [F.sum(F.when(F.col("fam") == f, F.col("w")).otherwise(0.0)).alias(f"w_{f}") for f in families]
-    pairs = kept1.join(kept2.drop("w"), by).groupBy("country", "s1", "r").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("nk"), *one)
-    return pairs.join(sums1, ["country", "s1"]).join(sums2, ["country", "r"]).withColumn("cos", F.col("score") / F.sqrt(F.col("ws") * F.col("wr")))
+    # the totals travel with the keys, so the pairs, of which there are many more, are shuffled once
+    pairs = kept(keys1, "s1", "ws").join(kept(keys2, "r", "wr").drop("w"), by).groupBy("country", "s1", "r")
+    pairs = pairs.agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("nk"), *one, F.max("ws").alias("ws"), F.max("wr").alias("wr"))
+    return pairs.withColumn("cos", F.col("score") / F.sqrt(F.col("ws") * F.col("wr")))
 
 
 def top_candidates(pairs: DataFrame, k: int = CANDIDATES) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running_sums
 from .common import materialise, word_count
 
 #: Rows that a bucket of one source should hold.
@@ -44,21 +45,17 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: floa
     makes every target stop. Before the level is found a source's level lies above its ratio, after it levels only fall:
     the right one is the largest that doesn't exceed its ratio.
     """
-    w = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    place = (F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).cast("binary").alias("name"))
     kinds = F.array(*map(F.lit, map(float, weights)))
-    ranked = sizes.withColumn("weight", F.element_at(kinds, (F.pmod(F.row_number().over(w) - 1, F.lit(len(weights))) + 1).cast("int")))
+    ranked = running_sums(sizes.withColumn("one", F.lit(1)), [], F.struct(*place), {"rank": "one"}).drop("one")
+    ranked = ranked.withColumn("weight", F.element_at(kinds, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))).drop("rank")
     ranked = ranked.withColumn("stop", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("stop") / F.col("weight"))
-    by = Window.orderBy("ratio", F.col("source").isNull(), F.col("source").cast("binary"))
-    everywhere = Window.partitionBy()
-    ranked = ranked.withColumns(
-        {
-            "filled": F.sum("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)),
-            "open": F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-            "total": F.sum("source_size").over(everywhere),
-        }
-    )
-    level = (F.lit(float(share)) * F.col("total") - F.coalesce("filled", F.lit(0.0))) / F.col("open")
-    ranked = ranked.withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(everywhere))
+    ranked = running_sums(ranked, [], F.struct("ratio", *place), {"filled": "stop", "passed": "weight"})
+    totals = ranked.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("every"))  # one row
+    ranked = ranked.join(F.broadcast(totals), how="cross")
+    level = (F.lit(float(share)) * F.col("total") - (F.col("filled") - F.col("stop"))) / (F.col("every") - F.col("passed") + F.col("weight"))
+    ranked = materialise(ranked.withColumn("level", F.when(level <= F.col("ratio"), level)), "mix-levels")
+    ranked = ranked.drop("level").join(F.broadcast(ranked.agg(F.max("level").alias("level"))), how="cross")
     fair = F.coalesce(F.col("level") * F.col("weight"), F.col("stop"))
     return ranked.select("source", "source_size", F.least("stop", fair).alias("target"))
 

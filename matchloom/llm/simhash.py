@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, fresh, materialise
@@ -181,15 +181,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (long) of every row of docs (doc_id, text)."""
+    """doc_id, text_hash (xxhash64; null counts as empty), fingerprint (long) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x, shingle) for x in batch.column("text").to_pylist()), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fingerprint long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def link_fingerprints(prints: DataFrame) -> DataFrame:
@@ -222,7 +226,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (long), component_id (least doc_id that links reach) of every row of docs (doc_id, text)."""
+    """doc_id, text_hash, fingerprint (long), component_id (least doc_id that links reach) of every row of docs (doc_id, text)."""
     prints = materialise(fingerprints(docs), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     roots = connected_components(link_fingerprints(classes))
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reached = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(reached, "root").select("fingerprint", "component_id")
     own = classes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(own, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(own, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -238,10 +242,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of rows with one id the one with the shortest text stays, a null text last; of equal texts any.
     """
-    ident, repeated, row = (fresh(c, docs.columns) for c in ("id", "repeated", "row"))
-    found = materialise(near_duplicates(docs), "near-duplicates").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ident), F.coalesce("component_id", F.lit(NO_ID)).alias("component"))
-    kept = found.where(F.col(ident) == F.col("component")).groupBy(ident).agg((F.count(F.lit(1)) > 1).alias(repeated))
-    rows = docs.withColumn(ident, F.coalesce("doc_id", F.lit(NO_ID))).join(kept, ident)
+    ident, digest, repeated, row = (fresh(c, docs.columns) for c in ("id", "digest", "repeated", "row"))
+    found = near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ident), F.col("text_hash").alias(digest), F.coalesce("component_id", F.lit(NO_ID)).alias("component"))
+    # An id that stands for several texts may be kept with one and go with another.
+    kept = materialise(found.where(F.col(ident) == F.col("component")).groupBy(ident, digest).count(), "kept")
+    kept = kept.join(kept.groupBy(ident).agg((F.sum("count") > 1).alias(repeated)), ident).drop("count")
+    rows = docs.withColumns({ident: F.coalesce("doc_id", F.lit(NO_ID)), digest: text_hash()}).join(kept, [ident, digest])
     # Only ids that occur more than once are sorted.
     first = Window.partitionBy(ident).orderBy(F.col("text").isNull(), F.length("text"), F.xxhash64("text"))
     again = rows.where(F.col(repeated)).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)

@@ -458,6 +458,96 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.score_documents(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_scores_against_brute_force_cosines(spark):
+    """Neighbours, votes and scores of score_documents() against all cosines of plain vectors over all words."""
+    rnd = random.Random(19)
+    words = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 8))) for _ in range(150)]
+    rows, labels = [], []
+    for k in range(500):
+        text = [rnd.choice(words) for _ in range(rnd.randint(5, 60))] + [rnd.choice(["vilest", "vilely", "nasties", "nastier"]) for _ in range(rnd.choice([0, 0, 1, 3]) if k % 5 else 4)]
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text), "s"))
+        labels.append((k, 1, int(k % 5 == 0)))
+    rows += [(1000, " ".join(rnd.choice(words) for _ in range(200_000)) + " vilest", "s"), (1001, "", "s"), (1002, None, "s")]
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, _ = toxicity.fit(docs, labels)
+    made = toxicity.Vectoriser(model.vocabulary)
+    counts = {i: made.counts(t) for i, t, _ in rows}
+    assert all(sum(n for k, n in c.items() if k == len(model.vocabulary)) <= len((t or "").split()) for (_, t, _), c in zip(rows, counts.values()))
+    df = np.zeros(len(model.vocabulary) + 1)
+    for c in counts.values():
+        df[list(c)] += 1
+    assert np.allclose(model.idf, np.log((len(rows) + 1) / (df + 1)) + 1)
+
+    def dense(c):
+        v = np.zeros(len(df))
+        for k, n in c.items():
+            v[k] = n**0.5 * model.idf[k]
+        return v / np.linalg.norm(v)
+
+    own = np.array([dense(counts[i]) for i in model.ids])
+    found = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    for i, c in counts.items():
+        if not model.telling(c):
+            assert found[i]["score"] == pytest.approx(model.empty) and not found[i]["evidence"]
+            continue
+        cos = own @ dense(c)
+        best = np.sort(cos)[::-1][: toxicity.NEAREST]
+        assert np.allclose([e["similarity"] for e in found[i]["evidence"]], best[best > 0])
+        assert all(cos[model.ids.index(e["doc_id"])] == pytest.approx(e["similarity"]) for e in found[i]["evidence"])
+        w = np.array([e["similarity"] for e in found[i]["evidence"]]) ** 2
+        vote = (w @ np.array([e["label"] for e in found[i]["evidence"]]) + toxicity.PRIOR * model.prior) / (w.sum() + toxicity.PRIOR)
+        a, b = model.platt
+        assert found[i]["score"] == pytest.approx(1 / (1 + np.exp(-(a * toxicity.logit(vote) + b))))
+
+
+def test_very_long_texts(monkeypatch):
+    """Texts beyond the sizes at which operators part their work."""
+    rnd = random.Random(20)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(30)]
+    matcher = decontamination.Matcher([item])
+    matcher.choose_seeds({})
+    text = " ".join([word() for _ in range(200_000)] + item + [word() for _ in range(100_000)])
+    hits = [m for p in matcher.passages(text) for m in matcher.matches(*p)]
+    assert [(h[0], h[3], h[4]) for h in hits] == [(0, 200_000, 200_029)]
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    long_line = " ".join(word() for _ in range(3000)) + " " + notice + " " + " ".join(word() for _ in range(3000))
+    assert [n[3] for n in licenses.classifier().notices(long_line)] == ["mit"]
+    page = "<body><nav>Menu</nav><article>" + "".join(f"<p>{word()} {k}</p>" for k in range(20_000)) + "</article>"
+    lines = html_extraction.page_lines(page)
+    flags, owned = html_extraction.main_flags(lines)
+    assert owned and sum(flags) == 20_000 and len(lines) == 20_001
+    deep = "<div>" * 5000 + "text" + "</div>" * 5000
+    assert [x[0] for x in html_extraction.page_lines(deep)] == ["text"]
+    a = list(range(3000))
+    assert html_extraction.shared_lines(a, a[:1000] + a[2000:]) == a[:1000] + a[2000:]
+    dotted = word() * 50_000 + " a.b@example.com " + "1" * 50_000 + " " + "1." * 5000
+    parts = [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", dotted)]
+    assert pii.base_spans(dotted) == [("email", 250_001, 250_016), *parts] and len(parts) == 1250
+    # audio in blocks: the same features however the payload is cut
+    payload = bytes(rnd.randrange(256) for _ in range(64 * 3000))
+    whole = audio.resample(np.frombuffer(payload, np.uint8), 0, 5000, audio.polyphase_filter())
+    parts = [audio.resample(np.frombuffer(payload, np.uint8), k, k + 500, audio.polyphase_filter()) for k in range(0, 5000, 500)]
+    assert np.allclose(whole, np.concatenate(parts))
+
+
+def test_anchors_of_texts_longer_than_a_segment(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 700)
+    rnd = random.Random(21)
+    common = bytes(rnd.choice(b"abcd ") for _ in range(1500))
+    texts = [bytes(rnd.choice(b"wxyz ") for _ in range(rnd.randint(0, 3000))) + common + bytes(rnd.choice(b"mnop") for _ in range(rnd.randint(0, 900))) for _ in range(6)]
+    powers, seen = substring_dedup.Powers(), {}
+    for raw in texts:
+        at, gram, _, a, b = substring_dedup.anchors_of(np.frombuffer(raw, np.uint8), powers)
+        # every string belongs to one piece, and its anchor follows from the string alone
+        starts = [s for x, y in zip(a.tolist(), b.tolist(), strict=True) for s in range(x, y - substring_dedup.LENGTH + 1)]
+        assert starts == list(range(len(raw) - substring_dedup.LENGTH + 1))
+        for place, g, x, y in zip(at.tolist(), gram.tolist(), a.tolist(), b.tolist(), strict=True):
+            for s in range(x, y - substring_dedup.LENGTH + 1):
+                assert seen.setdefault(raw[s : s + substring_dedup.LENGTH], (g, place - s)) == (g, place - s)
+
+
 def test_contamination(spark, odd, none):
     rnd = random.Random(10)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))

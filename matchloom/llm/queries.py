@@ -37,7 +37,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    made = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.withColumn("has_repeat", (F.col("n_removed") > 0).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Bound of the labelled sample, and what a term must reach to have its own coordinate (log-likelihood ratio: a chance
 #: of about one in 100,000).
@@ -251,35 +252,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, terms, counts of every row of docs (doc_id, text)."""
+def term_vectors(docs: DataFrame, vocabulary: list[str], keep: list[str], names: tuple[str, str]) -> DataFrame:
+    """The columns keep of docs, and term numbers and counts of every row's text, as arrays with the given names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Vectoriser(vocabulary)
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                rows = [made.counts(x) for x in part.column("text").to_pylist()]
+                rows = [made.counts(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 lists = [pa.array([list(f(r)) for r in rows], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], names=[*keep, *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
+    schema = StructType([docs.schema[c] for c in keep])
+    for n in names:
+        schema = schema.add(n, ArrayType(IntegerType()))
+    # the text goes along once more, last, as it may be among the columns that are kept
+    return docs.select(*keep, F.col("text").alias(fresh("text", keep))).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[ToxicityModel, DataFrame]:
-    """A model from the rows of labels (doc_id, toxic) that are not held out, and the term vectors of all docs."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("terms", "counts")) -> tuple[ToxicityModel, DataFrame]:
+    """A model from the rows of labels (doc_id, toxic) that are not held out, and columns and term vectors of all docs."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The sample has at most so many ids of one number each: small enough to send to every executor.
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     chosen = materialise(docs.select("doc_id", "text").join(F.broadcast(materialise(sample, "toxicity-sample")), "doc_id"), "toxicity-examples")
     toxic, rows = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     vocabulary = pick_terms(term_statistics(chosen), toxic, rows - toxic)
-    vectors = materialise(term_vectors(docs, vocabulary), "toxicity-vectors")
+    vectors = materialise(term_vectors(docs, vocabulary, list(keep), names), "toxicity-vectors")
     n = vectors.count()
-    seen = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
+    seen = dict(vectors.select(F.explode(names[0]).alias("t")).groupBy("t").count().collect())
     idf = np.array([np.log((n + 1) / (seen.get(k, 0) + 1)) + 1 for k in range(len(vocabulary) + 1)])
-    own = term_vectors(chosen, vocabulary).join(F.broadcast(chosen.select("doc_id", "toxic").distinct()), "doc_id")
+    own = term_vectors(chosen, vocabulary, ["doc_id"], ("terms", "counts")).join(F.broadcast(chosen.select("doc_id", "toxic").distinct()), "doc_id")
     found = own.distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "terms", "counts").collect()
     return ToxicityModel(vocabulary, idf, [(r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["toxic"]) for r in found]), vectors
 
@@ -304,13 +308,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """The rows of docs, with all columns, whose score stays below THRESHOLD."""
-    model, _ = fit(docs, labels, examples)
+    """The rows of docs, with all columns, whose score stays below THRESHOLD; texts are cut into terms once."""
+    names = (fresh("terms", docs.columns), fresh("counts", docs.columns))
+    model, vectors = fit(docs, labels, examples, tuple(docs.columns), names)
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = Vectoriser(model.vocabulary)
-        for texts in parts:
-            yield pd.Series([model.score(made.counts(x if isinstance(x, str) else None))[0] for x in texts], dtype=float)
+    def score(terms: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(dict(zip(t.tolist(), c.tolist(), strict=True)))[0] for t, c in zip(terms, counts, strict=True)], dtype=float)
 
-    return docs.where(score("text") < THRESHOLD)
+    return vectors.where(score(*names) < THRESHOLD).select(*docs.columns)

@@ -280,12 +280,17 @@ def _sorted_words(x: str) -> str:
     return f"array_to_string(list_sort({tokens(x)}), ' ')"
 
 
-TOKEN_SET = f"""{{blocks}},
-ts0 as (select s1, r, list_distinct({tokens('a.name_sq')}) as x, list_distinct({tokens('b.name_sq')}) as y from bk join n1 a on a.id = bk.s1 join n2 b on b.id = bk.r),
-ts1 as (select *, array_to_string(list_sort(list_intersect(x, y)), ' ') as sh, array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ') as le,
-        array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ') as ri from ts0),
-ts2 as (select *, trim(sh || ' ' || le) as ab, trim(sh || ' ' || ri) as ba from ts1),
-ts3 as (select *, {indel('ab', 'ba')} as base from ts2)"""
+def token_set(name: str, a: str, b: str, source: str) -> str:
+    """CTEs that end in one called name: source with <name>_v, the best ratio of shared words and either side's own."""
+    return f"""
+{name}_0 as (select *, list_distinct({tokens(a)}) as x, list_distinct({tokens(b)}) as y from {source}),
+{name}_1 as (select *, array_to_string(list_sort(list_intersect(x, y)), ' ') as sh, array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ') as le,
+        array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ') as ri from {name}_0),
+{name}_2 as (select *, trim(sh || ' ' || le) as ab, trim(sh || ' ' || ri) as ba from {name}_1),
+{name}_3 as (select *, case when {a} is null or {b} is null then null when len(x) = 0 or len(y) = 0 then 0.0::double when sh <> '' and (le = '' or ri = '') then 1.0::double end as plain from {name}_2),
+{name}_4 as (select *, case when plain is null and {a} is not null and {b} is not null then {indel('ab', 'ba')} end as base from {name}_3),
+{name} as (select * exclude (x, y, sh, le, ri, ab, ba, plain, base), coalesce(plain, case when sh = '' then base else greatest(base, 2.0::double * length(sh) / (length(sh) + least(length(ab), length(ba)))) end) as {name}_v from {name}_4)"""
+
 
 JOINED = "from bk join n1 a on a.id = bk.s1 join n2 b on b.id = bk.r"
 
@@ -313,11 +318,7 @@ from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as co
     "jaro_winkler": with_(BLOCKS, f"select s1, r, round(case when a.name_core = b.name_core then 1 else jaro_winkler_similarity(a.name_core, b.name_core) end, 6) as nm_jw {JOINED}"),
     "fuzz_ratio": with_(BLOCKS, f"select s1, r, round({indel('a.name_sq', 'b.name_sq')}, 6) as nm_ratio, round({indel('a.name_core', 'b.name_core')}, 6) as nm_core_ratio {JOINED}"),
     "token_sort": with_(f"{BLOCKS}, so as (select s1, r, {_sorted_words('a.name_sq')} as x, {_sorted_words('b.name_sq')} as y {JOINED})", f"select s1, r, round({indel('x', 'y')}, 6) as nm_tsort from so"),
-    "token_set": with_(
-        TOKEN_SET.format(blocks=BLOCKS),
-        "select s1, r, round(case when len(x) = 0 or len(y) = 0 then 0.0::double when sh <> '' and (le = '' or ri = '') then 1.0::double"
-        " when sh = '' then base else greatest(base, 2.0::double * length(sh) / (length(sh) + least(length(ab), length(ba)))) end, 6) as nm_tset from ts3",
-    ),
+    "token_set": with_(f"{BLOCKS}, tp as (select s1, r, a.name_sq as p, b.name_sq as q {JOINED}), {token_set('ts', 'p', 'q', 'tp')}", "select s1, r, round(ts_v, 6) as nm_tset from ts"),
     "osa": with_(BLOCKS, f"select s1, r, ({osa('a.name_core', 'b.name_core')})::bigint as nm_osa {JOINED}"),
     "monge_elkan": with_(BLOCKS, f"select s1, r, round({monge('a.name_toks', 'b.name_toks')}, 6) as me_ab, round({monge('b.name_toks', 'a.name_toks')}, 6) as me_ba {JOINED}"),
     "levenshtein_sim": with_(BLOCKS, f"select s1, r, round(1 - levenshtein(a.name_sq, b.name_sq)::double / greatest(length(a.name_sq), length(b.name_sq), 1), 6) as lev {JOINED}"),
@@ -327,6 +328,13 @@ from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as co
     "anchors": with_(KEYED, """, ac as (select s1, r as ra, p1 as pa from (select *, row_number() over (partition by s1 order by p1 desc, r) as k from sc where p1 >= 0.9) where k <= 3)
 select s1, r, count(*) as anc_n, max(pa) as anc_p_max, round(max(case when a.name_core = b.name_core then 1 else jaro_winkler_similarity(a.name_core, b.name_core) end), 6) as anc_name_jw_max,
 max(case when a.addr_nums[1] is not null and b.addr_nums[1] is not null then (a.addr_nums[1] = b.addr_nums[1])::int end)::double as anc_num_eq from sc join ac using (s1) join n2 a on a.id = r join n2 b on b.id = ra where p1 >= 0.02 and r <> ra group by s1, r"""),
+    "anchor_features": with_(KEYED, f""", ac as (select s1, r as ra, p1 as pa from (select *, row_number() over (partition by s1 order by p1 desc, r) as k from sc where p1 >= 0.9) where k <= 3),
+ap as (select s1, r, pa, a.name_sq as p, b.name_sq as q, a.name_core as ca, b.name_core as cb, a.addr_nums[1] as na, b.addr_nums[1] as nb,
+       case when not a.addr_missing and not b.addr_missing then a.addr_norm end as da, case when not a.addr_missing and not b.addr_missing then b.addr_norm end as db
+       from sc join ac using (s1) join n2 a on a.id = r join n2 b on b.id = ra where p1 >= 0.02 and r <> ra),
+dp as (select distinct p, q from ap), {token_set('tn', 'p', 'q', 'dp')}, de as (select distinct da, db from ap where da is not null), {token_set('ta', 'da', 'db', 'de')}
+select s1, r, count(*) as anc_n, max(pa) as anc_p_max, round(max(tn_v), 6) as anc_name_max, round(max(case when ca = cb then 1 else jaro_winkler_similarity(ca, cb) end), 6) as anc_name_jw_max, round(max(ta_v), 6) as anc_addr_max,
+max(case when na is not null and nb is not null then (na = nb)::int end)::double as anc_num_eq from ap left join tn using (p, q) left join ta using (da, db) group by s1, r"""),
     "stage2_context": with_(SCORED, f"""select s1, r, {context('p1', 'p', 'p1 > 0.5').replace('p_n50_s1', 'n_gt50_s1')}, n_gt50_r, p_sum_r, t[1] as p_top1_r, round(p1 - comp, 6) + 0.0::double as p_margin_r, round(p1 / (comp + 1e-6::double), 3) as p_ratio_r
 from (select *, case when p1 >= t[1] then coalesce(t[2], 0) else t[1] end as comp from sc join (select r, (count(*) filter (p1 > 0.5))::bigint as n_gt50_r, round(sum(p1), 6) as p_sum_r, list_sort(list(p1), 'desc') as t from sc group by r) using (r))"""),
     "sibling_support": with_(KEYED, f"""select s1, r, case when rn1 is not null and sn1 is not null then (rn1 = sn1)::int::double end as num_eq, {others('rn1')} as sup_num_r, {others('rk')} as sup_name_r, {others('ra')} as sup_addr_r, {others('rn1', 'p1')} as sup_num_r_w,

@@ -225,9 +225,10 @@ def anchors(spark, sf_dir):
 
 @query
 def anchor_features(spark, sf_dir):
-    """All six anchor features; those by word sets have no SQL."""
+    """All six anchor features."""
     _, two, _, pairs = scored(spark, sf_dir)
-    return context.anchor_features(context.anchors(pairs), two)
+    made = context.anchor_features(context.anchors(pairs), two)
+    return made.select("s1", "r", "anc_n", "anc_p_max", six("anc_name_max"), six("anc_name_jw_max"), six("anc_addr_max"), "anc_num_eq")
 
 
 @query

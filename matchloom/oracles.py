@@ -295,6 +295,29 @@ def token_set(name: str, a: str, b: str, source: str) -> str:
 JOINED = "from bk join n1 a on a.id = bk.s1 join n2 b on b.id = bk.r"
 
 
+def _extra() -> str:
+    """CTEs xf and xr: the further features of pairs, and ratios of different sorted address words."""
+    full = [f"list_filter({x}.name_skel, lambda t: t <> '')" for x in "ab"]
+    ends = "list_transform(a.addr_nums, lambda m: list_transform(b.addr_nums, lambda n: (length(m) >= 3 and length(n) >= 3 and (ends_with(m, n) or ends_with(n, m)))::int))"
+    alike = "list_transform(a.addr_nums, lambda m: list_transform(b.addr_nums, lambda n: 1 - levenshtein(m, n)::double / greatest(length(m), length(n))))"
+    cover = "list_filter(a.name_toks, lambda t: list_contains(list_transform(b.name_toks, lambda u: substr(u, 1, 3)), substr(t, 1, 3)))"
+    known, numbers = "not a.addr_missing and not b.addr_missing", "len(a.addr_nums) > 0 and len(b.addr_nums) > 0"
+    joined = [f"case when len(a.addr_alpha) > 0 and len(b.addr_alpha) > 0 then array_to_string(list_sort({x}.addr_alpha), ' ') end" for x in "ab"]
+    columns = {
+        "known": known, "fa": joined[0], "fb": joined[1],
+        "tri_jac": jaccard(_grams("a.name_core", 3), _grams("b.name_core", 3)), "bi_jac": jaccard(_grams("a.name_core", 2), _grams("b.name_core", 2)),
+        "me_ab": monge("a.name_toks", "b.name_toks"), "me_ba": monge("b.name_toks", "a.name_toks"), "skel_me": monge(*full),
+        "pre3_cover": f"case when len(a.name_toks) > 0 and len(b.name_toks) > 0 then len({cover})::double / len(a.name_toks) end",
+        "len_diff": "abs(length(a.name_core) - length(b.name_core))::double", "skel_first_eq": "coalesce(a.name_skel[1] = b.name_skel[1], false)::int::double",
+        "ad_me_ab": f"case when {known} then {monge('a.addr_alpha', 'b.addr_alpha')} end", "ad_me_ba": f"case when {known} then {monge('b.addr_alpha', 'a.addr_alpha')} end",
+        "ad_num_sim": f"case when {known} and {numbers} then list_max(flatten({alike})) end", "ad_num_suffix": f"case when {known} and {numbers} then list_max(flatten({ends}))::double end",
+        "ad_common": f"case when {known} then len(list_intersect(a.addr_toks, b.addr_toks))::double / greatest(1, least(len(list_distinct(a.addr_toks)), len(list_distinct(b.addr_toks)))) end",
+        "ad_jw": f"case when {known} then case when a.addr_norm = b.addr_norm then 1.0::double else jaro_winkler_similarity(a.addr_norm, b.addr_norm) end end",
+    }
+    made = ", ".join(f"{c} as {n}" for n, c in columns.items())
+    return f"xf as (select bk.country, s1, r, {made} {JOINED}), xd as (select distinct fa, fb from xf where fa is not null), xr as (select fa, fb, {indel('fa', 'fb')} as ratio from xd)"
+
+
 def _grams(x: str, n: int) -> str:
     return f"case when length({x}) > 0 then list_distinct(list_transform(range(1, greatest(1, length({x}) - {n} + 1) + 1), lambda i: substr({x}, i, {n}))) else [] end"
 
@@ -328,6 +351,9 @@ from (select *, case when cos >= t[1] then coalesce(t[2], 0) else t[1] end as co
     "anchors": with_(KEYED, """, ac as (select s1, r as ra, p1 as pa from (select *, row_number() over (partition by s1 order by p1 desc, r) as k from sc where p1 >= 0.9) where k <= 3)
 select s1, r, count(*) as anc_n, max(pa) as anc_p_max, round(max(case when a.name_core = b.name_core then 1 else jaro_winkler_similarity(a.name_core, b.name_core) end), 6) as anc_name_jw_max,
 max(case when a.addr_nums[1] is not null and b.addr_nums[1] is not null then (a.addr_nums[1] = b.addr_nums[1])::int end)::double as anc_num_eq from sc join ac using (s1) join n2 a on a.id = r join n2 b on b.id = ra where p1 >= 0.02 and r <> ra group by s1, r"""),
+    "extra_features": with_(f"{BLOCKS}, {_extra()}", """select country, s1, r, round(tri_jac, 6) as tri_jac, round(bi_jac, 6) as bi_jac, round(me_ab, 6) as me_ab, round(me_ba, 6) as me_ba, round(least(me_ab, me_ba), 6) as me_min,
+        round(skel_me, 6) as skel_me, round(pre3_cover, 6) as pre3_cover, len_diff, skel_first_eq, round(ad_me_ab, 6) as ad_me_ab, round(ad_me_ba, 6) as ad_me_ba, round(least(ad_me_ab, ad_me_ba), 6) as ad_me_min,
+        round(ad_num_sim, 6) as ad_num_sim, ad_num_suffix, round(ad_common, 6) as ad_common, round(ad_jw, 6) as ad_jw, round(case when known and fa is not null then ratio end, 6) as ad_alpha_ratio from xf left join xr using (fa, fb)"""),
     "anchor_features": with_(KEYED, f""", ac as (select s1, r as ra, p1 as pa from (select *, row_number() over (partition by s1 order by p1 desc, r) as k from sc where p1 >= 0.9) where k <= 3),
 ap as (select s1, r, pa, a.name_sq as p, b.name_sq as q, a.name_core as ca, b.name_core as cb, a.addr_nums[1] as na, b.addr_nums[1] as nb,
        case when not a.addr_missing and not b.addr_missing then a.addr_norm end as da, case when not a.addr_missing and not b.addr_missing then b.addr_norm end as db

@@ -318,6 +318,31 @@ def _extra() -> str:
     return f"xf as (select bk.country, s1, r, {made} {JOINED}), xd as (select distinct fa, fb from xf where fa is not null), xr as (select fa, fb, {indel('fa', 'fb')} as ratio from xd)"
 
 
+def _v3() -> str:
+    """CTEs of the features against false matches, behind c1 and c2: vf, ts, vr (of different names), u, w, m1, m2."""
+
+    def covered(name: str, own: str, other: str) -> str:
+        near = f"len(list_filter(list_slice({other}, 1, 10), lambda k: k = t or jaro_winkler_similarity(t, k) >= 0.92)) > 0"
+        return f"""
+{name} as (select s1, r, sum(case when hit then wt else 0.0::double end) / greatest(0.000001::double, sum(wt)) as cov, coalesce(max(case when not hit then wt end), 0.0::double) as miss, coalesce(max(case when hit then wt end), 0.0::double) as most
+       from (select s1, r, list_contains({other}, t) or {near} as hit, coalesce(idf, mi) as wt from (select vp.country, s1, r, unnest({own}) as t, {other} from vp) left join ti using (country, t) join mt using (country)) group by s1, r)"""
+
+    def free(a: str, b: str) -> str:
+        return f"len(list_filter({a}, lambda x: len(list_filter({b}, lambda y: x = y or jaro_winkler_similarity(x, y) >= 0.9)) = 0))"
+
+    locs = "select country, id, list_sort(list(loc)) as locs from (select country, id, unnest(list_distinct(comps)) as loc from {0}) join lv using (country, loc) group by country, id"
+    return f""",
+lv as (select country, loc from (select country, id, unnest(list_distinct(comps)) as loc from c1) group by all having count(*) >= {LOCALITY_LEAST}),
+l1 as ({locs.format('c1')}), l2 as ({locs.format('c2')}),
+ti as (select country, t, ln((n + 1)::double / (df + 1)) as idf from (select country, t, count(*) as df from (select country, unnest(list_distinct(ctoks)) as t from c1) group by all) join (select country, count(*) as n from c1 group by 1) using (country)),
+mt as (select country, max(idf) as mi from ti group by country),
+m1 as (select country, ckey, ln(1 + count(*)) as log_n from c1 where ckey <> '' group by all), m2 as (select country, ckey, ln(1 + count(*)) as log_n from c2 where ckey <> '' group by all),
+vp as (select bk.country, s1, r, c1.ctoks as t1, c1.ckey as k1, c2.ctoks as t2, c2.ckey as k2 from bk join c1 on c1.id = s1 join c2 on c2.id = r),
+vf as (select vp.*, len(t1) > 0 and len(t2) > 0 as b_, {jaccard('t1', 't2')} as cn_jac, coalesce(len(l1.locs), 0) as loc_n1, coalesce(len(l2.locs), 0) as loc_n2, len(l1.locs) > 0 and len(l2.locs) > 0 as kn,
+       {free('l1.locs', 'l2.locs')} as f1, {free('l2.locs', 'l1.locs')} as f2 from vp left join l1 on l1.id = s1 left join l2 on l2.id = r),
+vd as (select distinct k1 as p, k2 as q from vp where len(t1) > 0 and len(t2) > 0), vr as (select p, q, {indel('p', 'q')} as ratio from vd), {token_set('ts', 'p', 'q', 'vd')},{covered('u', 't1', 't2')},{covered('w', 't2', 't1')}"""
+
+
 def _grams(x: str, n: int) -> str:
     return f"case when length({x}) > 0 then list_distinct(list_transform(range(1, greatest(1, length({x}) - {n} + 1) + 1), lambda i: substr({x}, i, {n}))) else [] end"
 
@@ -354,6 +379,12 @@ max(case when a.addr_nums[1] is not null and b.addr_nums[1] is not null then (a.
     "extra_features": with_(f"{BLOCKS}, {_extra()}", """select country, s1, r, round(tri_jac, 6) as tri_jac, round(bi_jac, 6) as bi_jac, round(me_ab, 6) as me_ab, round(me_ba, 6) as me_ba, round(least(me_ab, me_ba), 6) as me_min,
         round(skel_me, 6) as skel_me, round(pre3_cover, 6) as pre3_cover, len_diff, skel_first_eq, round(ad_me_ab, 6) as ad_me_ab, round(ad_me_ba, 6) as ad_me_ba, round(least(ad_me_ab, ad_me_ba), 6) as ad_me_min,
         round(ad_num_sim, 6) as ad_num_sim, ad_num_suffix, round(ad_common, 6) as ad_common, round(ad_jw, 6) as ad_jw, round(case when known and fa is not null then ratio end, 6) as ad_alpha_ratio from xf left join xr using (fa, fb)"""),
+    "v3_features": with_(BLOCKS + f",\nc1 as {clean('n1')},\nc2 as {clean('n2')}" + _v3(), """select vf.country, s1, r, case when b_ then (k1 = k2)::int::double end as cn_eq, round(case when b_ then ts_v end, 6) as cn_tset, round(case when b_ then ratio end, 6) as cn_ratio,
+        round(cn_jac, 6) as cn_jac, round(case when b_ then u.cov end, 6) as cn_cov1, round(case when b_ then w.cov end, 6) as cn_cov2, round(case when b_ then u.miss end, 6) as cn_miss_idf1, round(case when b_ then w.miss end, 6) as cn_miss_idf2,
+        round(case when b_ then u.most end, 6) as cn_max_idf_match, loc_n1, loc_n2, case when kn then loc_n1 - f1 end as loc_inter, case when kn then f1 end as loc_unm1, case when kn then f2 end as loc_unm2,
+        case when kn then (f1 > 0 and f2 > 0)::int end as loc_conflict, round(coalesce(x1.log_n, 0), 6) as n_s1_same1, round(coalesce(x2.log_n, 0), 6) as n_s1_same2, round(coalesce(x3.log_n, 0), 6) as n_c_same2
+        from vf left join ts on k1 = ts.p and k2 = ts.q left join vr on k1 = vr.p and k2 = vr.q left join u using (s1, r) left join w using (s1, r)
+        left join m1 x1 on x1.country = vf.country and x1.ckey = k1 left join m1 x2 on x2.country = vf.country and x2.ckey = k2 left join m2 x3 on x3.country = vf.country and x3.ckey = k2"""),
     "anchor_features": with_(KEYED, f""", ac as (select s1, r as ra, p1 as pa from (select *, row_number() over (partition by s1 order by p1 desc, r) as k from sc where p1 >= 0.9) where k <= 3),
 ap as (select s1, r, pa, a.name_sq as p, b.name_sq as q, a.name_core as ca, b.name_core as cb, a.addr_nums[1] as na, b.addr_nums[1] as nb,
        case when not a.addr_missing and not b.addr_missing then a.addr_norm end as da, case when not a.addr_missing and not b.addr_missing then b.addr_norm end as db

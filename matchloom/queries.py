@@ -323,7 +323,9 @@ def v3_features(spark, sf_dir):
     one, two, _, pairs = scored(spark, sf_dir)
     one, two = precision.cleaned(one), precision.cleaned(two)
     words = precision.locality_vocabulary(one)
-    return precision.v3_features(pairs, one, two, precision.token_idf(one), precision.name_frequency(one), precision.name_frequency(two), precision.localities(one, words), precision.localities(two, words))
+    made = precision.v3_features(pairs, one, two, precision.token_idf(one), precision.name_frequency(one), precision.name_frequency(two), precision.localities(one, words), precision.localities(two, words))
+    rounded = [c for c, kind in made.dtypes if kind == "double"]
+    return made.select(*(six(c) if c in rounded else F.col(c) for c in made.columns))
 
 
 # decoding and evaluation

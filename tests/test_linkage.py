@@ -134,6 +134,14 @@ def test_context(spark):
     assert {(r["s1"], r["r"], r["ra"]) for r in found} == {("a", "y", "x")}
 
 
+def test_record_competition_takes_one_shuffle(spark):
+    odd = spark.createDataFrame([("a", "x", 0.9), ("b", "x", 0.7), ("c", "x", 0.01), ("d", "x", None), ("e", "y", 0.01)], "s1 string, r string, p1 double")
+    made = {r["s1"]: (r["r_n"], r["r_rank"], r["r_sum"], r["r_other"], r["r_n_any"]) for r in context.record_competition(odd).collect()}
+    assert made == {"a": (2, 1, 1.6, 0.7, 2), "b": (2, 2, 1.6, 0.9, 2), "c": (0, 0, 0, 0, 2), "d": (0, 0, 0, 0, 2), "e": (0, 0, 0, 0, 0)}
+    plan = context.record_competition(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_decode(spark):
     pairs = spark.createDataFrame([("US", "a", "x", 0.9), ("US", "b", "x", 0.9), ("US", "a", "y", 0.4), ("FR", "c", "z", 0.6), ("FR", "c", "x", 0.8)], "country string, s1 string, r string, p double")
     ids = lambda df: {(r["s1"], r["r"]) for r in df.collect()}

@@ -7,9 +7,9 @@ lines; lines shared with either are the site's, not the page's, and are deleted.
 much text as the rest without furniture, all of them are its text, and their lines are never deleted by that: a copy of an article under another URL is not furniture. Nor are those of two pages whose lines
 without furniture are nearly the same (COPY of the shorter one), as they are copies.
 
-The order over all pages is a range partitioning of host, path and row number; positions are made dense by the sizes of
-the partitions, and neighbours meet in an equi-join on positions. So a host may hold any share of the pages, and only
-64-bit hashes of lines travel.
+The order over all pages is a range partitioning of host, path and row number. Neighbours in a part are aligned as they
+stand; the last page of a part meets the first one of the next in an equi-join. So a host may hold any share of the pages,
+and only 64-bit hashes of lines travel.
 
 Defined results: a null or empty html has no text (""); a null or odd url has no host and no neighbours; pages of one
 host with equal paths are neighbours in row order; repeated rows are rows of their own; a null page_id stays null; other
@@ -20,10 +20,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,7 +176,10 @@ def shared_lines(a: list[int], b: list[int], first: int = 0) -> list[int]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, row, lines, main, owned: one row a page with all its lines and main_flags of them."""
+    """page_id, url, host, path, row, packed, hashes, main, owned: one row a page with all its lines and main_flags of them.
+
+    Lines are packed, as they are written and shuffled whole; their hashes are what alignment reads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,69 +187,97 @@ def parsed(pages: DataFrame) -> DataFrame:
                 part = batch.slice(start, 512)
                 cut = [page_lines(x) for x in part.column("html").to_pylist()]
                 flags = [main_flags(x) for x in cut]
-                cells = [pa.array([[x[0] for x in lines] for lines in cut], pa.list_(pa.string())), pa.array([f[0] for f in flags], pa.list_(pa.bool_())), pa.array([f[1] for f in flags], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *cells], names=["page_id", "url", "lines", "main", "owned"])
+                texts = [[x[0].encode() for x in lines] for lines in cut]
+                hashes = [[int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in lines] for lines in texts]
+                packed = [zlib.compress(b"\n".join(lines)) for lines in texts]  # no line holds a line feed
+                cells = [pa.array(packed, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array([f[0] for f in flags], pa.list_(pa.bool_())), pa.array([f[1] for f in flags], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *cells], names=["page_id", "url", "packed", "hashes", "main", "owned"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    cut = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, lines array<string>, main array<boolean>, owned boolean")
+    cut = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, packed binary, hashes array<long>, main array<boolean>, owned boolean")
     address = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)"
     host, path = (F.regexp_extract("url", address, k) for k in (1, 2))
     return cut.withColumns({"host": F.when(F.lower(host) != "", F.lower(host)), "path": path, "row": F.monotonically_increasing_id()})
 
 
+def site_lines(own: dict, other: dict) -> list[int]:
+    """Lines of a page that it shares with a neighbour and that aren't spared."""
+    shared = shared_lines(own["hashes"], other["hashes"])
+    inner = [k for k in shared if own["main"][k]]
+    # of copies only the furniture is the site's
+    copies = len(inner) >= COPY * max(1, min(sum(own["main"]), sum(other["main"])))
+    return [k for k in shared if not own["main"][k] or not (copies or own["owned"])]
+
+
+#: Lines to delete of a page, and the first and the last page of a part with all that its neighbour needs.
+FOUND = "row long, gone array<int>, part int, first boolean, host string, own struct<hashes:array<long>,main:array<boolean>,owned:boolean>"
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a part in order, each aligned with the one before; then the part's edges."""
+    part, before, edge = TaskContext.get().partitionId(), None, None
+    kinds = pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32())), ("part", pa.int32()), ("first", pa.bool_()), ("host", pa.string()), ("own", pa.struct([("hashes", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_())), ("owned", pa.bool_())]))])
+    for batch in batches:
+        out = []
+        for page in batch.to_pylist():
+            edge = edge or page
+            if before and before["host"] == page["host"]:
+                out += _both(before, page)
+            before = page
+        yield pa.RecordBatch.from_pylist(out, kinds)
+    if before:
+        yield pa.RecordBatch.from_pylist([{"row": x["row"], "part": part, "first": k == 0, "host": x["host"], "own": x["own"]} for k, x in enumerate((edge, before))], kinds)
+
+
+def _both(a: dict, b: dict) -> list[dict]:
+    made = ({"row": x["row"], "gone": site_lines(x["own"], y["own"])} for x, y in ((a, b), (b, a)))
+    return [x for x in made if x["gone"]]
+
+
 def neighbours(lines: DataFrame) -> DataFrame:
-    """row, own (hashes, main, owned), near (hashes, main of the pages before and after it on its host)."""
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    hashed = lines.where("host is not null").select("row", "host", "path", F.struct(hashes.alias("hashes"), "main", "owned").alias("own"))
+    """row, gone: the lines of each page that the pages before and after it on its host delete; pages without any are left out."""
+    hashed = lines.where("host is not null").select("row", "host", "path", F.struct("hashes", "main", "owned").alias("own"))
     # Numbers end in the path's order too: /page/9 stands before /page/10.
     key = F.regexp_replace("path", r"(\d+)", "00000000000000000000$1")
     key = F.regexp_replace(key, r"0*(\d{20})(?!\d)", "$1")
     parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = hashed.withColumn("key", key).repartitionByRange(parts, "host", "key", "row").sortWithinPartitions("host", "key", "row")
-    ranged = materialise(ranged.select("row", "host", "own", F.monotonically_increasing_id().alias("at")), "page-order")
-    part, local = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    # one row for each partition
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg((F.max(local) + 1).alias("n")).collect()}
-    offset, total = [], 0
-    for k in sorted(sizes):
-        offset += [F.lit(k), F.lit(total)]
-        total += sizes[k]
-    place = F.element_at(F.create_map(*offset), part) + local if offset else F.lit(0).cast("long")
-    dense = ranged.withColumn("place", place).select("row", "host", "own", "place")
-    other = dense.select(F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), F.col("host").alias("other_host"), F.col("own").alias("other"))
-    met = dense.join(other, "place").where(F.col("host") == F.col("other_host"))
-    return met.groupBy("row").agg(F.first("own").alias("own"), F.collect_list("other").alias("near"))  # two at most
-
-
-def site_lines(own: dict, near: list[dict]) -> list[int]:
-    """Lines of a page that it shares with a neighbour and that aren't spared."""
-    found: set[int] = set()
-    for other in near:
-        shared = shared_lines(own["hashes"], other["hashes"])
-        inner = [k for k in shared if own["main"][k]]
-        # of copies only the furniture is the site's
-        copies = len(inner) >= COPY * max(1, min(sum(own["main"]), sum(other["main"])))
-        found.update(k for k in shared if not own["main"][k] or not copies)
-    return sorted(found)
+    found = materialise(ranged.select("row", "host", "own").mapInArrow(_aligned, FOUND), "page-order")
+    # two pages for each part: the last one meets the first one of the next part that has pages
+    edges = found.where("part is not null")
+    there = sorted(r["part"] for r in edges.select("part").distinct().collect())
+    later = [F.lit(x) for pair in zip(there, there[1:], strict=False) for x in pair]
+    inner = found.where("part is null").select("row", "gone")
+    if later:
+        last = edges.where("not first").select(F.create_map(*later)[F.col("part")].alias("part"), F.struct("row", "host", "own").alias("a"))
+        met = last.join(edges.where("first").select("part", F.struct("row", "host", "own").alias("b")), "part").where("a.host = b.host")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [x for r in batch.to_pylist() for x in _both(r["a"], r["b"])]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+
+        inner = inner.unionByName(met.select("a", "b").mapInArrow(run, "row long, gone array<int>"))
+    return inner.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # two lists at most
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_shared of every row of pages (page_id, url, html); lines of text are joined by two line feeds.
 
-    n_shared counts the lines that differencing deletes, furniture among them; 0 where an article holds the text.
+    Every page is aligned with its neighbours. n_shared counts the lines that differencing deletes, furniture among them;
+    the lines of an article that holds the text are aligned but spared.
     """
     cut = materialise(parsed(pages), "page-lines")
+    joined = cut.select("row", "page_id", "url", "packed", "main").join(neighbours(cut), "row", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [site_lines(*x) for x in zip(batch.column("own").to_pylist(), batch.column("near").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
-
-    gone = neighbours(cut).where("not own.owned").mapInArrow(run, "row long, gone array<int>").where(F.size("gone") > 0)
-    # An article's lines are spared, so those pages need not wait for their neighbours, and their text is not shuffled.
-    done = cut.where("owned").withColumn("gone", F.array().cast("array<int>"))
-    joined = cut.where("not owned").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    columns = ["page_id", "url", "lines", "main", "gone"]
-    kept = F.transform("lines", lambda x, k: F.when(F.element_at("main", k + 1) & ~F.array_contains("gone", k), x))
-    text = F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n\n")
-    return done.select(*columns).unionByName(joined.select(*columns)).select("page_id", "url", text.alias("text"), F.size("gone").cast("long").alias("n_shared"))
+            made = []
+            for packed, main, lost in zip(*(batch.column(c).to_pylist() for c in ("packed", "main", "gone")), strict=True):
+                lines, lost = zlib.decompress(packed).decode().split("\n") if main else [], set(lost or ())
+                made.append("\n\n".join(x for k, (x, keep) in enumerate(zip(lines, main, strict=True)) if keep and k not in lost))
+            counts = [len(x or ()) for x in batch.column("gone").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_shared"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return joined.select("page_id", "url", "packed", "main", "gone").mapInArrow(texts, f"page_id {kind}, url string, text string, n_shared long")

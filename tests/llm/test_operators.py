@@ -261,6 +261,13 @@ def test_html_by_structure_and_difference(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_aligns_pages_of_articles_too(spark):
+    page = "<body><nav>Menu</nav><article><p>{}</p><p>same in both</p></article><footer>Foot</footer>"
+    rows = [(1, "http://h.x/a", page.format("own one, which is longer")), (2, "http://h.x/b", page.format("own two, which differs")), (3, "http://alone.x/", page.format("own three"))]
+    made = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert made == {1: ("own one, which is longer\n\nsame in both", 2), 2: ("own two, which differs\n\nsame in both", 2), 3: ("own three\n\nsame in both", 0)}
+
+
 def test_html_of_whole_pages_against_a_plain_parser(spark):
     """On the given pages, each of which has one article: the blocks of the article by the standard library's parser."""
     from html.parser import HTMLParser

@@ -401,6 +401,20 @@ def test_repeats_are_removed(spark, none, monkeypatch, hot):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_the_last_string_of_a_shard_finds_its_like():
+    """Suffixes that are too short to be strings may follow the last string in order; they don't part it from its like."""
+    rnd = random.Random(3)
+    raw = b"y" + bytes(rnd.choice(b"abc") for _ in range(398)) + b"z"
+    starts = substring_dedup.repeated_starts([raw, b"a" + raw], np.array([1, 3], np.uint64), np.array([0, 0]), None)
+    assert starts.tolist() == [0, 401]
+
+
+def test_a_repeat_of_high_bytes_keeps_its_edge(spark):
+    text = "Sch " * 150 + "schüüein, " + "nichtschüüein, " * 30 + "x" * 200
+    row = substring_dedup.remove_repeats(frame(spark, [(0, text, "s")])).first()
+    assert tuple(row)[1:5] == plain_removal([text])[0]
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(8)
     vectors = []
